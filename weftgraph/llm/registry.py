@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, shard, topk
 
-QUERIES = {"op1_decontaminate": decontaminate.query}
-SQL = {"op1_decontaminate": decontaminate.SQL}
+QUERIES = {"op1_decontaminate": decontaminate.query, "op7_topk": topk.query, "op8_shard": shard.query}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op7_topk": topk.SQL}
