@@ -26,6 +26,8 @@ from .common import text_size, with_fields
 #: Text bytes of one block of benchmark items; each block is broadcast by itself.
 BLOCK_BYTES = 8 << 20
 LANE = 64
+#: Pairs of position and window compared at once, and text bytes searched at once.
+PAIRS, SEARCH_BYTES = 1 << 17, 1 << 18
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -89,12 +91,20 @@ class WuManber:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, block = (np.concatenate(x) for x in zip(*found, strict=True))
         lo = self.bucket[block]
-        which, nth = tk.expand(self.bucket[block + 1] - lo)
-        at, pat = at[which], self.order[lo[which] + nth]
-        for j in range(m):  # words by hash, first to last
-            same = h[at + j] == self.h[pat, j]
-            at, pat = at[same], pat[same]
-        return self._same_bytes(at, pat, data, starts, lens)
+        size = self.bucket[block + 1] - lo
+        total, out = np.cumsum(size), []
+        i = 0
+        while i < len(at):  # a bounded number of pairs at a time
+            j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + PAIRS, "right")))
+            which, nth = tk.expand(size[i:j])
+            pos, pat = at[i:j][which], self.order[lo[i:j][which] + nth]
+            for w in range(m):  # words by hash, first to last
+                same = h[pos + w] == self.h[pat, w]
+                pos, pat = pos[same], pat[same]
+            for k in range(0, len(pos), PAIRS // 16):
+                out.append(self._same_bytes(pos[k : k + PAIRS // 16], pat[k : k + PAIRS // 16], data, starts, lens))
+            i = j
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _same_bytes(self, at, pat, data, starts, lens):
         if not len(at):
@@ -181,7 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
             def run(batches, step=step):
                 for batch in batches:
-                    for part in tk.sub_batches(batch, text_col, tk.SLICE_BYTES) if batch.num_rows else ():
+                    for part in tk.sub_batches(batch, text_col, SEARCH_BYTES) if batch.num_rows else ():
                         _, hits, ids = step(part)
                         cols = dict(zip(part.schema.names, part.columns, strict=True)) | {"_hits": pa.array(hits, pa.binary()), "_items": pa.array(ids, pa.list_(pa.string()))}
                         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -201,7 +211,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         }
 
     out = with_fields(df, ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))
-    return df.mapInArrow(tk.appending(last, text_col), out).drop("_hits", "_items")
+    return df.mapInArrow(tk.appending(last, text_col, SEARCH_BYTES), out).drop("_hits", "_items")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

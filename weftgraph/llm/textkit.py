@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes hashed at once; bounds the power tables and temporaries.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
