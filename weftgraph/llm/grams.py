@@ -43,18 +43,18 @@ def row_batches(batches, text_col: str, limit: int = tk.SLICE_BYTES):
                 yield part.slice(i, ROWS)
 
 
-def collect_counts(rows: DataFrame, text_col: str, keep: list[str], **how) -> tuple[np.ndarray, list[tuple]]:
-    """Count vectors of a bounded sample, made on the executors, and the columns ``keep``."""
+def collect_features(rows: DataFrame, text_col: str, keep: list[str], make) -> tuple[np.ndarray, list[tuple]]:
+    """Feature vectors (16-bit counts) of a bounded sample, made on the executors, and the columns ``keep``."""
     kept = rows.select(*keep, text_col)
     at = kept.schema.names.index(text_col)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(text_col).schema.fields) + ", _x binary"
 
     def run(batches):
         for part in row_batches(batches, text_col):
-            x = np.minimum(counts(part.column(at), **how), 65535).astype(np.uint16)
+            x = np.minimum(make(part.column(at)), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), tk.binary_array([r.tobytes() for r in x])], names=[*keep, "_x"])
 
     got = kept.mapInArrow(run, schema).collect()
     got.sort(key=lambda r: tuple((v is not None, v) for v in r[: len(keep)]))
-    x = np.array([np.frombuffer(r["_x"], np.uint16) for r in got], np.float32) if got else np.zeros((0, 1 << how["bits"]), np.float32)
+    x = np.array([np.frombuffer(r["_x"], np.uint16) for r in got], np.float32) if got else np.zeros((0, 0), np.float32)
     return x, [tuple(r[: len(keep)]) for r in got]

@@ -40,8 +40,12 @@ LETTERS = tk.LOWER.copy()
 LETTERS[:128] = np.where(((np.arange(128) | 32) >= 97) & ((np.arange(128) | 32) <= 122), np.arange(128) | 32, 32)
 
 
+def _counts(column: pa.Array) -> np.ndarray:
+    return grams.counts(column, BITS, LETTERS, SIZES)
+
+
 def _features(column: pa.Array) -> np.ndarray:
-    x = np.sqrt(grams.counts(column, BITS, LETTERS, SIZES))
+    x = np.sqrt(_counts(column))
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return (x / np.where(n > 0, n, 1)).astype(np.float32)
 
@@ -104,7 +108,7 @@ def fit(docs: DataFrame, per_language: int = 600, text_col: str = "text", lang_c
     share = F.element_at(F.create_map(*(F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, per_language / c)))), F.col(lang_col))
     u = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) / (1 << 20)
     rows = sound.filter(u < share).limit(2 * per_language * len(n))
-    x, kept = grams.collect_counts(rows, text_col, [id_col, lang_col], bits=BITS, case=LETTERS, sizes=SIZES)
+    x, kept = grams.collect_features(rows, text_col, [id_col, lang_col], _counts)
     if not len(x):
         return None
     x = np.sqrt(x)
