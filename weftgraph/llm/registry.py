@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mix, quality, secrets, shard, topk
+from . import decontaminate, langid, mix, neardup, quality, secrets, shard, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_quality": quality.query,
+    "op3_neardup": neardup.query,
     "op4_secrets": secrets.query,
     "op5_language": langid.query,
     "op7_topk": topk.query,
     "op8_shard": shard.query,
     "op9_mix": mix.query,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op7_topk": topk.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL, "op7_topk": topk.SQL}
