@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mix, neardup, quality, secrets, shard, topk
+from . import decontaminate, langid, mix, neardup, quality, secrets, shard, substring, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_neardup": neardup.query,
     "op4_secrets": secrets.query,
     "op5_language": langid.query,
+    "op6_substring": substring.query,
     "op7_topk": topk.query,
     "op8_shard": shard.query,
     "op9_mix": mix.query,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL, "op7_topk": topk.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL, "op6_substring": substring.SQL, "op7_topk": topk.SQL}
