@@ -58,8 +58,9 @@ def search_cell(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray
     cuts = [*range(0, d, DIM_BLOCK), d]
 
     def rest(m: np.ndarray, axis: int) -> list[np.ndarray]:
+        """Norms of the dimensions after each block, rounded up."""
         sq = m.astype(np.float64) ** 2
-        return [np.sqrt(np.take(sq, range(c, d), axis=axis).sum(axis)) * (1 + 1e-9) for c in cuts[1:]]
+        return [(np.sqrt(np.take(sq, range(c, d), axis=axis).sum(axis)) * (1 + 1e-5)).astype(np.float32) for c in cuts[1:]]
 
     q_rest, c_rest = rest(qm, 1), rest(cm, 0)
     out = []
@@ -70,31 +71,39 @@ def search_cell(qid: np.ndarray, qm: np.ndarray, cid: np.ndarray, cm: np.ndarray
         tau = np.full(n, -np.inf)
         for b in range(0, cm.shape[1], CANDIDATE_TILE):
             c, ids = cm[:, b : b + CANDIDATE_TILE], cid[b : b + CANDIDATE_TILE]
-            own = qid[a : a + n, None] == ids[None, :]
-            part, pairs = np.zeros((n, c.shape[1]), kind), None
+            width = c.shape[1]
+            part, pairs = np.zeros((n, width), kind), None
             for j, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if pairs is None:
                     part += q[:, lo:hi] @ c[lo:hi]
-                    bound = part + q_rest[j][a : a + n, None] * c_rest[j][None, b : b + c.shape[1]] + 0.5
-                    alive = (bound >= tau[:, None]) & ~own
-                    if hi == d or alive.mean() <= COMPACT_BELOW:
-                        pairs = np.nonzero(alive)
-                        got = part[pairs]
+                    if hi < d and np.isfinite(tau).all():
+                        bound = np.multiply.outer(q_rest[j][a : a + n], c_rest[j][b : b + width])
+                        bound += part
+                        alive = bound >= (tau - 0.5 - 1e-6 * np.abs(tau))[:, None]
+                        if np.count_nonzero(alive) <= COMPACT_BELOW * alive.size:
+                            pairs = np.nonzero(alive)
+                            got = part[pairs]
                 else:
                     qi, ci = pairs
                     got = got + (q[qi, lo:hi] * c[lo:hi, ci].T).sum(1)
-                    ok = got + q_rest[j][a + qi] * c_rest[j][b + ci] + 0.5 >= tau[qi]
+                    ok = got + q_rest[j][a + qi] * c_rest[j][b + ci] >= tau[qi] - 0.5 - 1e-6 * np.abs(tau[qi])
                     pairs, got = (qi[ok], ci[ok]), got[ok]
-            if pairs is None:  # vectors without components
-                pairs = np.nonzero(~own)
+            if pairs is None:
+                floor = tau
+                own = int(np.unique(ids, return_counts=True)[1].max())
+                if width > k + own:  # the k-th best of the tile, own rows left aside
+                    floor = np.maximum(tau, np.partition(part, width - k - own, axis=1)[:, width - k - own])
+                pairs = np.nonzero(part >= floor[:, None])
                 got = part[pairs]
             qi, ci = pairs
+            other = qid[a + qi] != ids[ci]
+            qi, ci, got = qi[other], ci[other], got[other]
             best = _keep_best(np.concatenate([best[0], qi]), np.concatenate([best[1], got.astype(np.int64)]), np.concatenate([best[2], ids[ci]]), k)
             full = np.bincount(best[0], minlength=n) >= k
             last = np.searchsorted(best[0], np.arange(n), "right") - 1
             tau[full] = best[1][last[full]]
         out.append((best[0] + a, best[1], best[2]))
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
