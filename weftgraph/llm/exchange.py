@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -24,11 +24,11 @@ from .common import partitions, text_size
 CHUNK_BYTES = 16 << 20
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, id, text) and the number of chunks."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """(chunk, id, text), with ``extra`` columns, and the number of chunks."""
     n = max(partitions(docs.sparkSession), -(-text_size(docs, text_col) // chunk_bytes))
     key = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(n)).cast("int")
-    return docs.select(key.alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n
+    return docs.select(key.alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in (extra or {}).items())), n
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mix, neardup, quality, secrets, shard, substring, topk
+from . import decontaminate, langid, lm, mix, neardup, quality, secrets, shard, substring, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_topk": topk.query,
     "op8_shard": shard.query,
     "op9_mix": mix.query,
+    "op10_lm": lm.query,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op3_neardup": neardup.SQL, "op6_substring": substring.SQL, "op7_topk": topk.SQL}
