@@ -151,8 +151,8 @@ def _scan(batch: pa.RecordBatch, text_col: str, found: list[WuManber]) -> tuple[
     return woff, np.cumsum(diff[:-1]) > 0, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, per_cent: int = 5, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, per_cent: int = 5, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated, named with ``prefix``.
 
     Benchmark items are read in blocks of about ``block_bytes`` of text; one block at a
     time is broadcast, and between blocks the state is checkpointed.  Null texts have
@@ -162,10 +162,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*added)
+    added = [prefix + c for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    hits_col, items_col = f"{prefix}_hits", f"{prefix}_items"
+    docs = docs.drop(*added, hits_col, items_col)
     blocks = max(1, -(-text_size(benchmark, item_text_col) // block_bytes))
-    df = docs.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    df = docs.withColumns({hits_col: F.lit(None).cast("binary"), items_col: F.lit(None).cast("array<string>")})
     schema = df.schema
     for k in range(blocks):
         own = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k)
@@ -174,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def step(batch, sent=sent):
             woff, hit, items = _scan(batch, text_col, sent.value)
-            old_hits, old_items = batch.column(batch.schema.get_field_index("_hits")), batch.column(batch.schema.get_field_index("_items"))
+            old_hits, old_items = batch.column(batch.schema.get_field_index(hits_col)), batch.column(batch.schema.get_field_index(items_col))
             hits, ids = [], []
             for r in range(batch.num_rows):
                 own_hits = hit[woff[r] : woff[r + 1]] if r in items else None
@@ -193,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 for batch in batches:
                     for part in tk.sub_batches(batch, text_col, SEARCH_BYTES) if batch.num_rows else ():
                         _, hits, ids = step(part)
-                        cols = dict(zip(part.schema.names, part.columns, strict=True)) | {"_hits": pa.array(hits, pa.binary()), "_items": pa.array(ids, pa.list_(pa.string()))}
+                        cols = dict(zip(part.schema.names, part.columns, strict=True)) | {hits_col: pa.array(hits, pa.binary()), items_col: pa.array(ids, pa.list_(pa.string()))}
                         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
             df = df.mapInArrow(run, schema).checkpoint()
@@ -202,16 +203,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         woff, hits, ids = step(batch)
         n = np.diff(woff)
         n_hit = np.array([0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in hits], np.int64)
-        return {
-            "n_words": pa.array(n, pa.int64()),
-            "n_hit": pa.array(n_hit, pa.int64()),
-            "n_items": pa.array([len(x or ()) for x in ids], pa.int64()),
-            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else EMPTY_SHA for x in ids], pa.string()),
-            "contaminated": pa.array((n_hit > 0) & (100 * n_hit >= per_cent * n)),
-        }
-
-    out = with_fields(df, ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))
-    return df.mapInArrow(tk.appending(last, text_col, SEARCH_BYTES), out).drop("_hits", "_items")
+        values = (
+            pa.array(n, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array([len(x or ()) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else EMPTY_SHA for x in ids], pa.string()),
+            pa.array((n_hit > 0) & (100 * n_hit >= per_cent * n)),
+        )
+        return dict(zip(added, values, strict=True))
+
+    out = with_fields(df, *zip(added, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()), strict=True))
+    return df.mapInArrow(tk.appending(last, text_col, SEARCH_BYTES), out).drop(hits_col, items_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -119,38 +119,41 @@ def plan(sized: DataFrame, target_entropy: float | None, max_repeats: float | No
     return spark.createDataFrame([(*r, *ends_by.get(r[0], (None, None, None))) for r in base], schema2)
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` repeated or cut to the budgets, with ``mix_weight``, ``mix_pass``, ``mix_block`` and ``mix_place``.
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
+    """``docs`` repeated or cut to the budgets, with weight, pass, block, place and nth, named with ``prefix``.
 
-    The order of the mixture is (mix_pass, mix_place, mix_nth) within a source.  ``budget`` counts
+    The order of the mixture within a source is (pass, place, nth).  ``budget`` counts
     tokens (default: those of ``docs``).  Null is a source of its own; rows without tokens
     come with every whole pass and with the part pass up to its end; repeated rows share
     their place and come together or not at all; without tokens, the
     result is empty.
     """
-    docs = docs.drop("mix_weight", "mix_pass", "mix_block", "mix_place", "mix_nth")
+    w, e, b, p, r = names = [prefix + c for c in ("weight", "pass", "block", "place", "nth")]
+    docs = docs.drop(*names)
     sized = stored(count_tokens(docs.select(id_col, source_col, text_col), text_col).drop(text_col), "mix-tokens")
     planned = plan(sized, target_entropy, max_repeats, budget, seed, id_col, source_col)
-    epoch = F.col("mix_pass")
-    block, place, nth = _order(id_col, seed, epoch)
+    block, place, nth = _order(id_col, seed, F.col(e))
     if planned is None:
         planned = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("_src", docs.schema[source_col].dataType), T.StructField("mix_weight", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("_budget", "_passes", "_rest", "_last_block", "_last_nth")), T.StructField("_last_id", docs.schema[id_col].dataType)]))
-    passes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes")))
-    spread = docs.join(F.broadcast(planned), F.col(source_col).eqNullSafe(F.col("_src"))).withColumn("mix_pass", passes)
-    spread = spread.withColumns({"mix_block": block, "mix_place": place, "mix_nth": nth})
-    in_part = (F.col("mix_place") < F.col("_last_block")) | ((F.col("mix_place") == F.col("_last_block")) & (F.struct("mix_nth", F.col(id_col)) <= F.struct(F.col("_last_nth"), F.col("_last_id"))))
-    keep = (F.col("mix_pass") < F.col("_passes")) | ((F.col("_rest") > 0) & F.coalesce(in_part, F.lit(False)))
-    return spread.filter(keep).drop("_src", "_budget", "_passes", "_rest", "_last_block", "_last_nth", "_last_id")
+    own = F.broadcast(planned.select(*(F.col(c).alias(f"_mix_{c}") for c in planned.columns)))
+    q = {c: F.col(f"_mix_{c}") for c in planned.columns}
+    passes = F.explode(F.sequence(F.lit(0).cast("long"), q["_passes"]))
+    spread = docs.join(own, F.col(source_col).eqNullSafe(q["_src"])).withColumn(e, passes)
+    spread = spread.withColumns({w: q["mix_weight"], b: block, p: place, r: nth})
+    last_row = F.struct(F.col(r), F.col(id_col)) <= F.struct(q["_last_nth"], q["_last_id"])
+    in_part = (F.col(p) < q["_last_block"]) | ((F.col(p) == q["_last_block"]) & last_row)
+    keep = (F.col(e) < q["_passes"]) | ((q["_rest"] > 0) & F.coalesce(in_part, F.lit(False)))
+    return spread.filter(keep).drop(*(f"_mix_{c}" for c in planned.columns))
 
 
 #: Share of the greatest possible entropy, and greatest number of passes over a source.
 ENTROPY_SHARE, MAX_REPEATS = 0.97, 4.0
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
     """Production parameters: 0.97 of the entropy of equal sources, at most 4 passes."""
     n = docs.select("source").distinct().count()
-    return mix(docs, target_entropy=ENTROPY_SHARE * math.log(max(n, 1)), max_repeats=MAX_REPEATS)
+    return mix(docs, target_entropy=ENTROPY_SHARE * math.log(max(n, 1)), max_repeats=MAX_REPEATS, prefix=prefix)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -117,13 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, rank: int = 3
     return LatentVoting(x, y, total.get(1, 0) / sum(total.values()), rank, neighbours)
 
 
-def classify(docs: DataFrame, model: LatentVoting | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on).
+def classify(docs: DataFrame, model: LatentVoting | None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on), named with ``prefix``.
 
     Null and empty texts, and all texts without a model, get the prior (0.5
-    without a model).  Repeated rows get the same score.
+    without a model).  Repeated rows get the same score.  Columns with the new names are replaced.
     """
-    docs = docs.drop("score", "predicted")
+    names = [f"{prefix}score", f"{prefix}predicted"]
+    docs = docs.drop(*names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.schema.names.index(text_col)
 
@@ -131,9 +132,9 @@ def classify(docs: DataFrame, model: LatentVoting | None, text_col: str = "text"
         m = sent.value
         for part in grams.row_batches(batches, text_col):
             s = m.score(features(part.column(at))) if m else np.full(part.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*part.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, with_fields(docs, ("score", T.DoubleType()), ("predicted", T.IntegerType())))
+    return docs.mapInArrow(run, with_fields(docs, (names[0], T.DoubleType()), (names[1], T.IntegerType())))
 
 
 def model_of(docs: DataFrame, labels: DataFrame) -> LatentVoting | None:
