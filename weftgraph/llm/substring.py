@@ -30,6 +30,8 @@ from .exchange import blob, bucket_slices, chunk_words, chunked, column, ids_of,
 
 #: Words of the runs that minimizers are chosen from.
 RUN = 4
+#: Text bytes of a chunk; a task holds about fifteen times as much.
+CHUNK_BYTES = 5 << 20
 
 
 class SuffixAutomaton:
@@ -215,7 +217,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     shorter than a window stay whole; rows with a null id are neither cut nor
     referred to; repeated rows (equal id) don't cut each other.
     """
-    base, buckets = chunked(docs, id_col, text_col)
+    base, buckets = chunked(docs, id_col, text_col, CHUNK_BYTES)
     by_chunk = lambda df: df.groupBy("chunk")
 
     def send_keys(t: pa.Table) -> pa.Table:
