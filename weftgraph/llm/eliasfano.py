@@ -77,25 +77,46 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select1(i) - i).astype(np.uint64) << U64(self.low_bits)) | self._low(i)
 
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First index not below each x among the entries with its high part, and the end of these.
+
+        The high part is found by selection, the low part by bisection over packed bits.
+        """
+        h = (x >> U64(self.low_bits)).astype(np.int64)
+        last = int(self.zeros[-1]) - 1
+        start = np.where(h > 0, self._select0(np.clip(h - 1, 0, last)) - (h - 1), 0)
+        end = self._select0(np.clip(h, 0, last)) - h
+        beyond = h > last
+        start, end = np.where(beyond, self.n, start), np.where(beyond, self.n, end)
+        want = x & U64((1 << self.low_bits) - 1)
+        i, j = start.copy(), end.copy()
+        live = np.flatnonzero(i < j)
+        while len(live):
+            mid = (i[live] + j[live]) // 2
+            up = self._low(mid) < want[live]
+            i[live[up]] = mid[up] + 1
+            j[live[~up]] = mid[~up]
+            live = live[i[live] < j[live]]
+        return np.minimum(i, self.n), np.minimum(end, self.n)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and value of the first entry not below each x (n and 0 where there is none)."""
         x = np.asarray(x, np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
-        h = (x >> U64(self.low_bits)).astype(np.int64)
-        last = int(self.access(np.array([self.n - 1]))[0])
-        fits = x <= U64(last)
-        h = np.where(fits, h, 0)
-        i = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - (h - 1), 0)
-        i = np.where(fits, i, self.n)
-        value = np.zeros(len(x), np.uint64)
-        live = np.flatnonzero(fits)
-        while len(live):  # the entries with this high part, one by one
-            v = self.access(i[live])
-            value[live] = v
-            live = live[v < x[live]]
-            i[live] += 1
-        return i, np.where(fits, value, U64(0))
+        i, _ = self._search(x)
+        value = self.access(np.minimum(i, self.n - 1))
+        return i, np.where(i < self.n, value, U64(0))
+
+    def index_of(self, x: np.ndarray) -> np.ndarray:
+        """First index of each x, -1 where it isn't an entry."""
+        x = np.asarray(x, np.uint64)
+        if not self.n:
+            return np.full(len(x), -1, np.int64)
+        i, end = self._search(x)
+        at = np.minimum(i, self.n - 1)
+        hit = (i < end) & (self._low(at) == (x & U64((1 << self.low_bits) - 1)))
+        return np.where(hit, i, -1)
 
     def parts(self) -> tuple[dict, list[np.ndarray]]:
         return {"n": self.n, "low_bits": self.low_bits}, [self.low, self.high]
@@ -133,29 +154,29 @@ class BigramTrie:
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(context))
         base = np.zeros(len(first), np.uint64)
+        successor = successor + U64(1)  # never 0, so values of a context lie above its base
         if len(first):
             base[1:] = np.cumsum(successor[ends - 1])[:-1]
         values = successor + np.repeat(base, ends - first) if len(first) else successor
         return cls(EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(context)).astype(np.uint64)), EliasFano.encode(values), quantise(count))
 
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each (context, successor); 0 where it isn't in the trie."""
-        out = np.zeros(len(context), np.uint8)
-        i, found = self.contexts.successor(context)
-        ok = np.flatnonzero((i < self.contexts.n) & (found == context))
-        if not len(ok):
+    def lookup(self, context: np.ndarray, runs: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of the successors, the first ``runs[0]`` of which belong to ``context[0]`` and so on;
+        0 where a bigram isn't in the trie."""
+        out = np.zeros(len(successor), np.uint8)
+        i = self.contexts.index_of(context)
+        if not len(i) or not self.successors.n:
             return out
-        i = i[ok]
-        lo, hi = (self.pointers.access(i + k).astype(np.int64) for k in (0, 1))
+        known = np.maximum(i, 0)
+        lo, hi = (self.pointers.access(known + k).astype(np.int64) for k in (0, 1))
         base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), U64(0))
-        want = base + successor[ok]
-        at, value = self.successors.successor(want)
-        # an entry equal to the last of the context before is that one's: step over it
-        at = np.maximum(at, lo)
-        at_safe = np.minimum(at, self.successors.n - 1)
-        value = self.successors.access(at_safe)
-        hit = (at < hi) & (value == want)
-        out[ok[hit]] = self.codes[at[hit]]
+        hi = np.where(i >= 0, hi, 0)
+        which = np.repeat(np.arange(len(i)), runs)
+        ask = np.flatnonzero(i[which] >= 0)
+        which = which[ask]
+        at = self.successors.index_of(base[which] + successor[ask] + U64(1))
+        hit = (at >= lo[which]) & (at < hi[which])
+        out[ask[hit]] = self.codes[at[hit]]
         return out
 
     def to_bytes(self) -> bytes:

@@ -131,10 +131,10 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             _, total, inverse, sizes = merged(t)
             out = [blob(x) for x in np.split(total[inverse], np.cumsum(sizes)[:-1])]
         else:
-            ctx = [np.repeat(k, r) for k, r in zip(column(t, "a", np.uint64), column(t, "b", np.uint32), strict=True)]
+            ctx, runs = column(t, "a", np.uint64), [x.astype(np.int64) for x in column(t, "b", np.uint32)]
             suc = [_unpack40(x) for x in t.column("c").to_pylist()]
-            shard = build_shard(ctx, suc, [x.astype(np.int64) for x in column(t, "d", np.uint32)])
-            out = [blob(shard.lookup(c, s)) for c, s in zip(ctx, suc, strict=True)]
+            shard = build_shard([np.repeat(k, r) for k, r in zip(ctx, runs, strict=True)], suc, [x.astype(np.int64) for x in column(t, "d", np.uint32)])
+            out = [blob(shard.lookup(c, r, x)) for c, r, x in zip(ctx, runs, suc, strict=True)]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": t.column("kind"), "a": tk.binary_array(out)})
 
     answers = sent.groupBy("kind", "bucket").applyInArrow(answer, "chunk int, bucket int, kind int, a binary")
