@@ -1,0 +1,43 @@
+import re
+
+import numpy as np
+
+from weftgraph.llm import secrets as S
+
+
+def test_candidates_and_offsets(spark, docs):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [None, "", "nothing", f'say token = "{key}" é\n{key} and {key}', "a" * 50000 + "1", "\x01" + key, "abcdefghijklmnopq rstuvwxyz", key]
+    rows = [*enumerate(texts), (7, key)]
+    got = sorted((r["doc_id"], r["nth"], r["start"], r["value"]) for r in S.scan_secrets(docs(*rows)).collect())
+    rx = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+    want = sorted((d, n + 1, m.start() + 1, m.group()) for d, t in rows for n, m in enumerate(rx.finditer(t or "")))
+    assert got == want
+    assert S.scan_secrets(docs(*rows).limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings(spark, docs):
+    forest = S.train(spark, S.labelled_findings())
+    fresh = S.labelled_findings(400, seed=99)
+    rows = [(i, f.before + f.value + f.after, "en", f.path) for i, f in enumerate(fresh)]
+    out = {(r["doc_id"], r["value"]): r["is_secret"] for r in S.scan_secrets(docs(*rows), path_col="source", forest=forest).collect()}
+    right = [out[(i, f.value)] == bool(f.label) for i, f in enumerate(fresh) if (i, f.value) in out]
+    assert len(right) > 350 and sum(right) / len(right) > 0.95
+
+
+def test_trees_agree_with_their_expression(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.random((200, 3)), rng.integers(0, 2, 200).astype(float)
+    forest = S.grow_forest(x, y, trees=4, depth=3)
+
+    def vote(t, row):
+        return t if not isinstance(t, tuple) else vote(t[2] if row[t[0]] <= t[1] else t[3], row)
+
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, _f_a double, _f_b double, _f_c double")
+    for r in df.withColumn("s", S.forest_expr(forest, ["a", "b", "c"])).collect():
+        assert abs(r["s"] - np.mean([vote(t, x[r["i"]]) for t in forest])) < 1e-5
+
+
+def test_plan_is_native(spark, docs):
+    plan = S.scan_secrets(docs((1, "x")))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
