@@ -6,25 +6,28 @@ sets with the probability of their Jaccard similarity.  Bands of the signature a
 buckets of candidate texts.
 
 Texts with equal sets form a class, and only one of each class is banded.  Links
-are confirmed on the full sets.  A bucket is not expanded into pairs: in each round a
-random pivot of the bucket is compared with those members that are not yet in its
-component, and then leaves the bucket; a bucket is done once it lies in one component.
-As a group of copies falls to the first pivots, comparisons stay near the
-number of members, and no link between components is skipped.
+are confirmed on the full sets.  A bucket is not expanded into pairs.  In each round its
+pivot, a member of the largest buckets, is compared with all its members.  Links among
+those within a wide radius of the pivot are found by their differences to it: for |x ^ y| to be
+small enough, x and y must share so many of these that the rarest ones of each (a prefix,
+with the position of the shared one bounding what can follow) decide whether they are
+compared at all.  Differences are mostly edits of one text, so few pairs meet.  Members
+far within the radius are done then; the rest is the bucket of the next round, with four times as
+many pivots.  A bucket is also done once it lies in one component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import stored, table
 from .components import components
 
-BANDS, PER_BAND = 24, 2  # permutations of a band: 4 values of the signature
+BANDS, PER_BAND = 40, 3  # permutations of a band: 6 values of the signature
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
 _B = _RNG.integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64)
@@ -101,27 +104,78 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= per_cent * union."""
+#: Radius around a pivot, in units of the difference that two linked sets of its size may have.
+RADIUS = 4
+
+
+def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b, na, nb, linked, settled, delta) of pairs (a, b) of ids.
+
+    ``linked``: 100 * intersection >= per_cent * union.  ``delta``: the elements of one set only, if b is
+    within the radius of a, else null.  ``settled``: b is linked, or so far within that it can't be
+    linked to a set beyond.
+    """
     needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     own = sets.join(needed, "id", "left_semi")
     left = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    share = (100 - per_cent) / (100 + per_cent)
 
     def run(batches):
         for batch in batches:
             a, b, sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
-            ok = np.zeros(batch.num_rows, bool)
+            na, nb, linked, settled, delta = [], [], [], [], []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                ok[i] = 100 * common >= per_cent * (len(x) + len(y) - common)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+                diff = np.setxor1d(x, y, assume_unique=True)
+                total = len(x) + len(y)  # of it the intersection counts twice
+                radius = 2 * RADIUS * share * len(x)
+                na.append(len(x))
+                nb.append(len(y))
+                linked.append(100 * (total - len(diff)) >= per_cent * (total + len(diff)))
+                settled.append(linked[-1] or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius)
+                delta.append(diff.view(np.int64).tolist() if len(diff) <= radius + 1e-6 else None)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(settled, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "settled", "delta"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, linked boolean, settled boolean, delta array<long>")
+
+
+def beside(balls: DataFrame, label: DataFrame | None, per_cent: int) -> DataFrame:
+    """Pairs (a, b) within the radius of one pivot, at least one of them not linked to it, that
+    are in different components and may be linked by what their differences to the pivot share."""
+    share = (100 - per_cent) / (100 + per_cent)
+    d = balls.filter("delta IS NOT NULL")
+    d = d.withColumn("comp", F.col("b")) if label is None else d.join(label, d.b == label.node, "left").withColumn("comp", F.coalesce("root", "b")).drop("node", "root")
+    d = d.join(d.filter("NOT linked").select("a").distinct(), "a", "left_semi").withColumn("d", F.size("delta"))
+    # the least overlap with any set that isn't linked to the pivot, and with any set at all
+    floor = lambda x: F.floor(x / 2 - 1e-9).cast("int") + 1
+    least = floor(F.col("d") + share * (F.col("na") - F.col("nb")))
+    least_any = F.greatest(F.lit(1), floor(F.col("d") - share * (F.col("na") + F.col("nb"))))
+    e = d.select("a", "b", "comp", "nb", "d", "linked", (F.col("d") - least + 1).alias("keep"), (F.col("d") - least_any + 1).alias("keep_any"), F.explode("delta").alias("e"))
+    shared = e.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("a", "e"))).filter("often > 1")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
+    # elements of one member only come first in every order, but never meet
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    ranked = shared.withColumn("r", rank + alone)
+    x = ranked.filter("r <= keep").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("xc"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
+    y = ranked.filter("NOT linked AND r <= keep_any").select("a", "e", F.col("b").alias("y"), F.col("comp").alias("yc"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
+    overlap = F.ceil((F.col("dx") + F.col("dy") - share * (F.col("nx") + F.col("ny"))) / 2 - 1e-6)
+    fits = (F.col("dx") - F.col("rx") + 1 >= overlap) & (F.col("dy") - F.col("ry") + 1 >= overlap)
+    hit = x.join(y, ["a", "e"]).filter((F.col("xc") != F.col("yc")) & (100 * F.least("nx", "ny") >= per_cent * F.greatest("nx", "ny")) & fits)
+    return hit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels (node, root) after more links (a, b)."""
+    if links.isEmpty():
+        return label
+    if label is None:
+        return components(links)
+    root = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(lifted)
+    moved = label.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stored(moved.union(joined.join(label, "node", "left_anti").select("node", "root")), "labels")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     A set is the distinct runs of ``words`` words (lower-cased A-Z, split at ASCII white
     space); a text with fewer words is one run.  Texts without words, null texts included, are linked
     with nothing.  Two sets are linked from ``per_cent`` percent of Jaccard similarity on; at 80
-    a link is missed with a probability of at most 4e-6.  ``component_id`` is the smallest id
+    a link is missed with a probability of at most 6e-6.  ``component_id`` is the smallest id
     reachable and ``kept`` marks it.  Repeated rows (equal id and text) get equal results; ids
     are integers, and one id should not have two texts.
     """
@@ -139,38 +193,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     classes = stored(sig.filter("n_shingles > 0").groupBy("n_shingles", "_s1", "_s2").agg(F.min("id").alias("rep"), F.any_value("_bands").alias("_bands")), "classes")
     # a set of 3 or fewer is at most 3/4 similar to any other
     least = next(n for n in range(1, 1000) if 100 * n >= per_cent * (n + 1))
-    entries = classes.filter(F.col("n_shingles") >= least).select("rep", F.col("n_shingles").alias("n"), F.explode("_bands").alias("key"))
+    entries = classes.filter(F.col("n_shingles") >= least).select("rep", F.explode("_bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
     bucket = stored(entries.join(shared, "key"), "buckets")
     sets = stored(full_sets(base.join(bucket.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words), "sets")
-    label = None
-    turn = 0
+    label, turn = None, 0
     while True:
         labelled = bucket.withColumn("comp", F.col("rep")) if label is None else bucket.join(label, bucket.rep == label.node, "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
-        state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(turn))).alias("p")).filter("lo < hi")
-        live = stored(labelled.join(state.select("key", "members", "p"), "key"), "live")
+        open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("key", "members")
+        live = stored(labelled.join(open_, "key").select("key", "rep", "members"), "live")
         if not live.limit(1).count():
             break
-        # beside the bucket's pivot, others by chance, twice as many each round
-        chance = F.pmod(F.xxhash64("rep", F.lit(-1 - turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(2**turn - 1)) / F.col("members")
-        is_pivot = chance | (F.col("rep") == F.col("p.rep"))
-        first = live.select("key", F.col("p.rep").alias("pr"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"), "rep", "comp", "n")
-        if turn:
-            more = live.filter(chance & (F.col("rep") != F.col("p.rep"))).select("key", F.col("rep").alias("pr"), F.col("comp").alias("pc"), F.col("n").alias("pn"))
-            first = first.unionByName(more.join(live.select("key", "rep", "comp", "n"), "key"))
-        near = (F.col("pc") != F.col("comp")) & (100 * F.least("pn", "n") >= per_cent * F.greatest("pn", "n"))
-        pairs = stored(first.filter(near).select(F.least("pr", "rep").alias("a"), F.greatest("pr", "rep").alias("b")).distinct(), "pairs")
-        links = stored(confirmed(pairs, sets, per_cent), "links")
-        bucket = live.filter(~is_pivot).select("key", "rep", "n")
-        if links.limit(1).count():
-            if label is None:
-                label = components(links)
-            else:
-                old = label
-                lifted = links.join(old.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(old.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-                joined = components(lifted)
-                moved = old.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-                label = stored(moved.union(joined.join(old, "node", "left_anti").select("node", "root")), "labels")
+        central = live.groupBy("rep").agg(F.sum("members").alias("central"))
+        lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"))
+        # beside the lead, others by chance: none at first, then four times as many each round
+        chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(4**turn - 1)) / F.col("members")
+        pivots = stored(lead.union(live.filter(chance).select("key", "rep")).distinct(), "pivots")
+        met = live.select("key", "rep").join(pivots, "key").filter("rep <> pivot")
+        balls = stored(compared(met.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets, per_cent), "balls")
+        label = merged(label, balls.filter("linked").select("a", "b"))
+        near = stored(beside(balls, label, per_cent), "beside")
+        if near.limit(1).count():
+            label = merged(label, compared(near, sets, per_cent).filter("linked").select("a", "b"))
+        done = met.join(balls.filter("settled").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"]).select("key", "rep").union(pivots.select("key", "pivot")).distinct()
+        bucket = stored(live.select("key", "rep").join(done, ["key", "rep"], "left_anti"), "buckets")
         turn += 1
     rooted = classes.select("n_shingles", "_s1", "_s2", "rep")
     if label is not None:
