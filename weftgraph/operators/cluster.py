@@ -1,9 +1,9 @@
 """Communities by modularity, as joins over edge and label tables.
 
-Moves are synchronous: in each sweep half of the nodes, by a hash that changes from
+Moves are synchronous: in each sweep a third of the nodes, by a hash that changes from
 sweep to sweep, look at their neighbours' communities and take the best.  A sweep that
-doesn't raise the modularity is undone and ends the level; then communities become the
-nodes of the next level.  Ties go to the smaller label, so results repeat.
+doesn't raise the modularity is undone, and three such in a row end the level; then communities
+become the nodes of the next level.  Ties go to the smaller label, so results repeat.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _level(edges: DataFrame, resolution: float, sweeps: int) -> DataFrame:
     both = stored(_both(edges.filter("u <> v")), "cluster-edges")
     two_m = degree.agg(F.sum("k")).first()[0] or 1.0
     labels = stored(degree.select("id", F.col("id").alias("com")), "cluster")
-    best = modularity(edges, labels, resolution)
+    best, idle = modularity(edges, labels, resolution), 0
     for sweep in range(sweeps):
         mass = degree.join(labels, "id").groupBy("com").agg(F.sum("k").alias("mass"))
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id"), F.col("com").alias("to")).agg(F.sum("w").alias("links"))
@@ -47,20 +47,21 @@ def _level(edges: DataFrame, resolution: float, sweeps: int) -> DataFrame:
         x = x.withColumn("gain", gain)
         top = x.groupBy("id").agg(F.max(F.when(F.col("to") == F.col("com"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("b"))
         alone = labels.join(mass, "com").join(degree, "id").select("id", F.round(-resolution * F.col("k") * (F.col("mass") - F.col("k")) / two_m, 9).alias("without"))
-        turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(3)) == 0
         moved = labels.join(top, "id", "left").join(alone, "id", "left")
         go = turn & (-F.col("b.g") > F.coalesce("stay", "without"))
         new = stored(moved.select("id", F.when(go, F.col("b.to")).otherwise(F.col("com")).alias("com")), "cluster")
         q = modularity(edges, new, resolution)
         if q <= best + 1e-9:
-            if sweep:
+            idle += 1
+            if idle == 3:
                 break
             continue
-        best, labels = q, new
+        best, labels, idle = q, new, 0
     return labels
 
 
-def communities(simple: DataFrame, resolution: float = 1.0, levels: int = 3, sweeps: int = 5) -> DataFrame:
+def communities(simple: DataFrame, resolution: float = 1.0, levels: int = 4, sweeps: int = 9) -> DataFrame:
     """(id, community): 0 is the largest; equal sizes by their smallest member.
 
     ``simple`` has pairs (lo, hi).

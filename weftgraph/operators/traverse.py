@@ -144,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def depth_first(neighbors: DataFrame, deg: DataFrame, seeds: DataFrame, depth: int, hub: int) -> DataFrame:
-    """(position, id) in depth-first order, neighbours by id.
+    """(position, id) in depth-first order, from a stack: of several neighbours the largest id is next.
 
     The order depends on all that came before, so it runs as one task, on the neighbourhood
     that a breadth-first pass of the same depth bounds.
