@@ -56,7 +56,6 @@ def test_like_brute_force(spark, docs):
 def test_blocks_of_the_benchmark(spark, docs):
     rows, items = cases(2)
     rows = [x for x in rows if x[0] != 203]
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/test")
     assert run(D.decontaminate(docs(*rows), bench(spark, items), block_bytes=100)) == brute(rows, items)
 
 

@@ -31,6 +31,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+            if "/weft-" in path:
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 

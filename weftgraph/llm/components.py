@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         # the label's own label, from the round before, is at most the label
         new = better.join(jump, better.root == jump.via, "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
         new = stored(new, "labels")
-        changed = new.filter("root < old").limit(1).count()
+        discard(label)
         label = new.select("node", "root")
-        if not changed:
+        if new.filter("root < old").isEmpty():
+            discard(both)
             return label

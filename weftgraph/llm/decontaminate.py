@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import text_size, with_fields
+from .common import stored, text_size, with_fields
 
 #: Text bytes of one block of benchmark items; each block is broadcast by itself.
 BLOCK_BYTES = 8 << 20
@@ -155,7 +155,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated, named with ``prefix``.
 
     Benchmark items are read in blocks of about ``block_bytes`` of text; one block at a
-    time is broadcast, and between blocks the state is checkpointed.  Null texts have
+    time is broadcast, and between blocks the state is written to the shared folder.  Null texts have
     no words; items of fewer words than ``window`` are one window; equal windows of
     several items count for each; an empty benchmark contaminates nothing; repeated
     rows are judged each by itself.  Columns of ``docs`` stay; those with the
@@ -197,7 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         cols = dict(zip(part.schema.names, part.columns, strict=True)) | {hits_col: pa.array(hits, pa.binary()), items_col: pa.array(ids, pa.list_(pa.string()))}
                         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-            df = df.mapInArrow(run, schema).checkpoint()
+            df = stored(df.mapInArrow(run, schema), "hits")
 
     def last(batch):
         woff, hits, ids = step(batch)

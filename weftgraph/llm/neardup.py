@@ -12,7 +12,7 @@ those within a wide radius of the pivot are found by their differences to it: fo
 small enough, x and y must share so many of these that the rarest ones of each (a prefix,
 with the position of the shared one bounding what can follow) decide whether they are
 compared at all.  Differences are mostly edits of one text, so few pairs meet.  Members
-far within the radius are done then; the rest is the bucket of the next round, with four times as
+far within the radius are done then; the rest is the bucket of the next round, with many times as
 many pivots.  A bucket is also done once it lies in one component.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import stored, table
+from .common import discard, stored, table
 from .components import components
 
 BANDS, PER_BAND = 40, 3  # permutations of a band: 6 values of the signature
@@ -104,6 +104,8 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
+#: Pivots of a bucket grow by this factor each round.
+GROWTH = 16
 #: Radius around a pivot, in units of the difference that two linked sets of its size may have.
 RADIUS = 4
 
@@ -175,7 +177,9 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = components(lifted)
     moved = label.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    return stored(moved.union(joined.join(label, "node", "left_anti").select("node", "root")), "labels")
+    out = stored(moved.union(joined.join(label, "node", "left_anti").select("node", "root")), "labels")
+    discard(label, joined)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,20 +208,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
         live = stored(labelled.join(open_, "key").select("key", "rep", "members"), "live")
         if not live.limit(1).count():
             break
-        central = live.groupBy("rep").agg(F.sum("members").alias("central"))
-        lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"))
-        # beside the lead, others by chance: none at first, then four times as many each round
-        chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(4**turn - 1)) / F.col("members")
-        pivots = stored(lead.union(live.filter(chance).select("key", "rep")).distinct(), "pivots")
+        if turn:
+            lead = live.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"))
+        else:
+            central = live.groupBy("rep").agg(F.sum("members").alias("central"))
+            lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"))
+        # beside the lead, others by chance: none at first, then many times as many each round
+        chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(GROWTH**turn - 1)) / F.col("members")
+        pivots = stored(lead.union(live.filter(chance).select("key", "rep")).distinct() if turn else lead, "pivots")
         met = live.select("key", "rep").join(pivots, "key").filter("rep <> pivot")
         balls = stored(compared(met.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets, per_cent), "balls")
-        label = merged(label, balls.filter("linked").select("a", "b"))
         near = stored(beside(balls, label, per_cent), "beside")
-        if near.limit(1).count():
-            label = merged(label, compared(near, sets, per_cent).filter("linked").select("a", "b"))
+        links = balls.filter("linked").select("a", "b")
+        if not near.isEmpty():
+            links = links.union(compared(near, sets, per_cent).filter("linked").select("a", "b"))
+        label = merged(label, stored(links, "links"))
         done = met.join(balls.filter("settled").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"]).select("key", "rep").union(pivots.select("key", "pivot")).distinct()
-        bucket = stored(live.select("key", "rep").join(done, ["key", "rep"], "left_anti"), "buckets")
-        turn += 1
+        rest = stored(live.select("key", "rep").join(done, ["key", "rep"], "left_anti"), "buckets")
+        discard(bucket, live, pivots, balls, near)
+        bucket, turn = rest, turn + 1
+    discard(bucket, live, sets)
     rooted = classes.select("n_shingles", "_s1", "_s2", "rep")
     if label is not None:
         rooted = rooted.join(label, rooted.rep == label.node, "left").withColumn("rep", F.coalesce("root", "rep")).drop("node", "root")
