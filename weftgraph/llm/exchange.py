@@ -21,10 +21,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import partitions, text_size
 
-CHUNK_BYTES = 16 << 20
-
-
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
     """(chunk, id, text), with ``extra`` columns, and the number of chunks."""
     n = max(partitions(docs.sparkSession), -(-text_size(docs, text_col) // chunk_bytes))
     key = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(n)).cast("int")

@@ -28,6 +28,8 @@ END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A2700000000003)
 #: Parts of a context's successors that go to different shards.
 SPREAD_BITS = 3
 PRIOR = 4.0
+#: Text bytes of a chunk; a task holds about fifteen times as much.
+CHUNK_BYTES = 12 << 20
 
 
 def _tokens(t: pa.Table):
@@ -93,7 +95,7 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
     empty and have only the end.  Repeated rows count as often as they come.  Without
     training texts all counts are 0 and N is 0.
     """
-    base, buckets = chunked(docs, id_col, text_col, extra={"train": F.coalesce(is_training, F.lit(False))})
+    base, buckets = chunked(docs, id_col, text_col, CHUNK_BYTES, extra={"train": F.coalesce(is_training, F.lit(False))})
     by_chunk = lambda df: df.groupBy("chunk")
     fields = [("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
     message = "bucket int, chunk int, kind int, a binary, b binary, c binary, d binary"
