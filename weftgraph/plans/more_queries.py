@@ -282,3 +282,47 @@ def _small(c):
     from ..operators import build
 
     return build.collapse_edges(c.edges.filter("relation IN ('contains', 'references') AND NOT src LIKE 'order:%'"))
+
+
+# ---- sources
+
+INDEX = """
+SELECT to_json(named_struct('documents', collect_list(d))) AS json FROM (
+ SELECT named_struct('relative_path', 'nation/' || n_nationkey || '.py', 'symbols', array(named_struct('symbol', n_name, 'relationships', array(
+   named_struct('symbol', r_name, 'is_implementation', n_nationkey % 2 = 0, 'is_reference', true), named_struct('symbol', 'ext' || (n_nationkey % 3), 'is_implementation', false, 'is_reference', n_nationkey % 5 = 0))))) AS d
+ FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+ UNION ALL SELECT named_struct('relative_path', 'region/' || r_regionkey || '.py', 'symbols', array(named_struct('symbol', r_name, 'relationships', CAST(array() AS ARRAY<STRUCT<symbol: STRING, is_implementation: BOOLEAN, is_reference: BOOLEAN>>)))) FROM {region})
+"""
+
+
+@query("scip_edges", """
+SELECT 'scip_' || substr(sha1('nation/' || n_nationkey || '.py|' || n_name), 1, 16) AS src, 'scip_' || substr(sha1('region/' || r_regionkey || '.py|' || r_name), 1, 16) AS dst, CASE WHEN n_nationkey % 2 = 0 THEN 'scip_impl' ELSE 'scip_ref' END AS relation FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'scip_' || substr(sha1('nation/' || n_nationkey || '.py|' || n_name), 1, 16), 'scip_ext_' || substr(sha1('ext' || (n_nationkey % 3)), 1, 16), 'scip_ref' FROM nation WHERE n_nationkey % 5 = 0""")
+def _(c):
+    from ..sources.graphs import symbol_index
+
+    return symbol_index(c.sql(INDEX))[1].select("src", "dst", "relation")
+
+
+@query("extract_files")
+def _(c):
+    """Rows that the extractors find in the files, by kind."""
+    from ..sources.extract import extract
+
+    return extract(c.files).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("community_wiki")
+def _(c):
+    """The article of each community."""
+    from ..operators import build
+    from ..sinks.notes import community_articles
+
+    return community_articles(c.nodes, build.collapse_edges(c.edges))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def _(c):
+    from ..streaming.watch import event_counts
+
+    return event_counts(c.table("events"))
