@@ -118,3 +118,39 @@ def test_notes_and_report(spark):
     cards, top = notes.canvas(n, s, edges=1)
     assert cards.count() == 3 and rows(top, "src") == [("b",)]
     assert analyze.degree(s).agg(F.sum("degree")).first()[0] == 4
+
+
+def test_game_sources_and_forms(spark):
+    files = {"g/a.dm": '#include "b.dm"\n/obj/item\n/obj/item/proc/use(mob/m)\n\tdo_it(1)\n', "g/m.dmm": '"aa" = (/turf/floor,/obj/item)\n', "g/f.dfm": "object Main: TForm\n  object Ok: TButton\n  end\nend\n", "g/w.dmf": 'window "main"\n'}
+    out = X.extract(spark.createDataFrame(list(files.items()), "path string, content string")).cache()
+    assert out.filter("kind = 'error'").count() == 0
+    assert {("g/a.dm", "use()"), ("g/f.dfm", "Ok"), ("g/w.dmf", "main")} <= {(r["source_file"], r["label"]) for r in X.nodes_of(out).collect()}
+    assert {("turf_floor", "references"), ("obj_item", "references")} <= set(rows(X.edges_of(out), "dst", "relation"))
+
+
+def test_pointers_answers_and_prompt(spark, tmp_path):
+    import datetime as dt
+
+    from weftgraph.sources import pointers as P
+
+    f = spark.createDataFrame([("a.gdoc", '{"url": "https://docs.google.com/document/d/abc/edit?resourcekey=k1", "email": "m"}'), ("b.gsheet", '{"resource_id": "sheet:xyz"}'), ("c.gdoc", "{}"), ("d.gdoc", '{"doc_id": "1", "url": "x?id=2"}')], "path string, content string")
+    assert rows(P.workspace_pointers(f), "path", "file_id", "resource_key", "account") == [("a.gdoc", "abc", "k1", "m"), ("b.gsheet", "xyz", None, None), ("d.gdoc", "1", None, None)]
+    a = spark.createDataFrame([("What is it?", "This.", dt.datetime(2024, 1, 2, 3, 4, 5), ["n1", "n2"])], "question string, answer string, asked_at timestamp, nodes array<string>")
+    P.save_answers(a, str(tmp_path / "m"))
+    P.save_answers(a, str(tmp_path / "m"))
+    got = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert len(got) == 2 and got[0]["path"] == "query_20240102_030405_what_is_it.md" and "- n2" in got[0]["content"]
+    gods = spark.createDataFrame([("a", "A", 3), ("b", "B", 9)], "id string, label string, degree int")
+    assert P.transcription_prompt(gods) == "Technical discussion about B, A. Use proper punctuation and paragraph breaks."
+
+
+def test_diagram_parts(spark):
+    from weftgraph.operators import diagram as D
+
+    n, e, _ = graph(spark)
+    assert [r["id"] for r in D.diagram_nodes(n, e, 2).orderBy("place").collect()] == ["a", "b"]
+    flow = spark.createDataFrame([("s1", "s2", 3), ("s1", "s3", 5)], "src_section string, dst_section string, edges int")
+    assert D.flow_chain(["s3", "s2", "s1"], flow) == ["s1", "s3", "s2"]
+    assert rows(D.call_table(n, e), "id", "callers", "callees")[1] == ("b", 'It\'s "A"', "")
+    t = spark.createDataFrame([(str(i), x, "code", "f.py", 0) for i, x in enumerate(["_p", "b", "A", "f.py", "c"])], n.schema)
+    assert [r["name"] for r in D.symbol_tree(t, 2).orderBy("place").collect()] == ["A", "b", "(+2 more)"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_SCORES
@@ -98,3 +98,62 @@ def with_scores(edges: DataFrame) -> DataFrame:
     for k, v in DEFAULT_SCORES.items():
         tag = F.when(F.col("confidence") == k, v) if tag is None else tag.when(F.col("confidence") == k, v)
     return edges.withColumn("confidence_score", F.coalesce("confidence_score", tag))
+
+
+def diagram_nodes(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(id, place): at most ``most`` nodes for a diagram: those that call more than they are
+    called, then ends of the best edges, then the rest by participation.
+
+    Concepts only join while fewer than a third of the places (four at least) are taken.
+    """
+    usable = preferred_edges(edges)
+    out = usable.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
+    into = usable.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
+    kinds = nodes.select("id", (node_kind() == "concept").alias("concept"))
+    entry = kinds.join(out, "id").join(into, "id", "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    starts = entry.orderBy(F.desc(F.col("o") - F.col("i")), F.desc("o"), "id").limit(max(3, most // 3)).select("id", "concept", F.lit(0).alias("stage"), (F.col("i") - F.col("o")).cast("double").alias("k"), F.lit("").alias("t"))
+    best = usable.orderBy(F.desc(edge_score()), "src", "dst").limit(most)
+    ends = best.select(F.explode(F.array("src", "dst")).alias("id"), (-edge_score()).alias("k"), F.concat("src", F.lit("|"), "dst").alias("t")).join(kinds, "id").select("id", "concept", F.lit(1), "k", "t")
+    rest = kinds.join(participation(usable), "id", "left").orderBy("concept", F.desc(F.coalesce("score", F.lit(0.0))), "id").limit(most).select("id", "concept", F.lit(2), F.when(F.col("concept"), 1e9).otherwise(-F.coalesce("score", F.lit(0.0))), F.col("id"))
+    rows = sorted(starts.union(ends).union(rest).collect(), key=lambda r: (r[2], r[3], r[4], r[0]))  # a few times ``most`` rows
+    picked: list[str] = []
+    for r in rows:
+        if len(picked) < most and r[0] not in picked and (r[2] == 2 or not r[1] or len(picked) < max(4, most // 3)):
+            picked.append(r[0])
+    return nodes.sparkSession.createDataFrame([(x, i) for i, x in enumerate(picked)], "id string, place int")
+
+
+def flow_chain(order: list[str], flow: DataFrame, most: int = 7) -> list[str]:
+    """Sections in reading order: from the least entered one along the strongest flow, each once."""
+    rows = flow.collect()  # at most one row for each pair of sections
+    into: dict[str, int] = {}
+    for r in rows:
+        into[r["dst_section"]] = into.get(r["dst_section"], 0) + r["edges"]
+    if not order:
+        return []
+    chain = [min(order, key=lambda s: (into.get(s, 0), order.index(s)))]
+    while len(chain) < min(most, len(order)):
+        on = [(r["edges"], r["dst_section"]) for r in rows if r["src_section"] == chain[-1] and r["dst_section"] not in chain]
+        chain.append(max(on)[1] if on else next(s for s in order if s not in chain))
+    return chain
+
+
+def call_table(nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """(id, label, kind, callers, callees): short lists of labels on both sides of each node."""
+    shown = edges.filter(is_shown()).select("src", "dst").distinct()
+    label = nodes.select("id", "label")
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        named = shown.join(label.withColumnsRenamed({"id": other, "label": "l"}), other)
+        return named.groupBy(F.col(own).alias("id")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("l")), 1, most), ", ").alias(name))
+
+    return nodes.select("id", "label", node_kind().alias("kind")).join(side("dst", "src", "callers"), "id", "left").join(side("src", "dst", "callees"), "id", "left").select("id", "label", "kind", F.coalesce("callers", F.lit("")).alias("callers"), F.coalesce("callees", F.lit("")).alias("callees"))
+
+
+def symbol_tree(nodes: DataFrame, most: int = 200) -> DataFrame:
+    """(source_file, place, name): symbols of each file, private names last, and one row for those left out."""
+    own = nodes.filter(F.coalesce("source_file", F.lit("")) != "").filter(~((F.col("label") == F.regexp_extract("source_file", r"[^/]*$", 0)) & (F.col("file_type") == "code")))
+    w = Window.partitionBy("source_file")
+    x = own.withColumns({"place": F.row_number().over(w.orderBy(F.col("label").startswith("_"), F.lower("label"), "id")), "n": F.count(F.lit(1)).over(w)})
+    left = x.filter((F.col("place") == most) & (F.col("n") > most)).select("source_file", (F.col("place") + 1).alias("place"), F.concat(F.lit("(+"), (F.col("n") - most).cast("string"), F.lit(" more)")).alias("name"))
+    return x.filter(F.col("place") <= most).select("source_file", "place", F.col("label").alias("name")).union(left)

@@ -215,9 +215,21 @@ _VERILOG = _pattern([("class", r"^\s*(?:module|interface|package)\s+([A-Za-z_]\w
 _DART = _pattern([_CLASSES, ("function", r"^\s*(?:[\w<>?]+\s+)([a-z_]\w*)\s*\([^;]*\)\s*(?:async\s*)?\{")], [r"^\s*(?:import|export|part)\s+(['\"][^'\"]+['\"])"])
 _ZIG = _pattern([("class", r"^\s*(?:pub\s+)?const\s+([A-Z]\w*)\s*=\s*(?:struct|enum|union)"), ("function", r"^\s*(?:pub\s+)?fn\s+([A-Za-z_]\w*)")], [r"@import\((\"[^\"]+\")\)"])
 _POWERSHELL = _pattern([("class", r"(?i)^\s*class\s+(\w+)"), ("function", r"(?i)^\s*function\s+([\w-]+)")], [r"(?i)^\s*(?:Import-Module|using\s+module)\s+(\S+)"])
+_DM = _pattern([("function", r"^(?:/[\w/]+/)?(?:proc|verb)/(\w+)\s*\("), ("class", r"^/([\w/]+)\s*$")], [r"^\s*#include\s+(\"[^\"]+\")"])
+_FORM = _pattern([("class", r"^\s*(?:object|inherited|inline)\s+(\w+)\s*:\s*\w+")], [])
+_WINDOWS = _pattern([("class", r'^\s*(?:window|elem|menu|macro)\s+"([^"]+)"')], [])
 _R = _pattern([("function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(")], [r"^\s*(?:library|require|source)\((['\"]?[\w./-]+['\"]?)\)"])
 
 
+def tile_map(path: str, text: str) -> Fragment:
+    """Types that the tiles of a map are made of."""
+    f = Fragment()
+    _, root = _file(f, path)
+    for kind in dict.fromkeys(re.findall(r"[(,\s](/[\w/]+)", text)):
+        f.edge(root, make_id(kind), "references", path)
+    return f
+
+
 def project_xml(path: str, text: str) -> Fragment:
     """Project and package references of build files."""
     f = Fragment()
@@ -232,7 +244,7 @@ def project_xml(path: str, text: str) -> Fragment:
 
 
 EXTRACTORS: dict[str, Callable[[str, str], Fragment]] = {"py": python, "sql": sql, "md": markdown, "mdx": markdown, "json": json_file}
-for _names, _fn in (("js jsx mjs ejs ts tsx vue svelte astro ets", _JS), ("java kt kts scala groovy gradle cs razor cshtml", _JAVA), ("go", _GO), ("rs", _RUST), ("c h cc cpp cxx hpp m mm", _C), ("rb", _RUBY), ("php", _PHP), ("sh bash", _SHELL), ("lua luau", _LUA), ("swift", _SWIFT), ("jl", _JULIA), ("ex exs", _ELIXIR), ("f f90 f95 f03 f08", _FORTRAN), ("pas pp dpr lpr inc", _PASCAL), ("v sv svh", _VERILOG), ("dart", _DART), ("zig", _ZIG), ("ps1", _POWERSHELL), ("r", _R), ("sln csproj fsproj vbproj lpk", project_xml)):
+for _names, _fn in (("js jsx mjs ejs ts tsx vue svelte astro ets", _JS), ("java kt kts scala groovy gradle cs razor cshtml", _JAVA), ("go", _GO), ("rs", _RUST), ("c h cc cpp cxx hpp m mm", _C), ("rb", _RUBY), ("php", _PHP), ("sh bash", _SHELL), ("lua luau", _LUA), ("swift", _SWIFT), ("jl", _JULIA), ("ex exs", _ELIXIR), ("f f90 f95 f03 f08", _FORTRAN), ("pas pp dpr lpr inc", _PASCAL), ("v sv svh", _VERILOG), ("dart", _DART), ("zig", _ZIG), ("ps1", _POWERSHELL), ("r", _R), ("dm dme", _DM), ("dfm lfm", _FORM), ("dmf", _WINDOWS), ("dmm", tile_map), ("sln csproj fsproj vbproj lpk", project_xml)):
     EXTRACTORS |= dict.fromkeys(_names.split(), _fn)
 
 _KINDS = {"node": "nodes", "edge": "edges", "call": "calls"}
