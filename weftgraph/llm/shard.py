@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 CELLS = 1024
 #: Rows numbered by one task.
@@ -39,25 +39,24 @@ class Node:
     right: int = 0
 
 
-def _values(spark, names: str, rows: list[tuple[int, ...]]) -> DataFrame:
-    """A literal table of at most one row for each node of a level."""
-    body = ", ".join("(" + ", ".join(f"{int(v)}L" for v in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {body} AS v({names})"))
+def _pick(nodes: list[Node], value) -> Column:
+    """A value of the row's node: a literal array of at most 2 * shards entries, by node id."""
+    return F.element_at(F.array(*(F.lit(int(value(x))).cast("long") for x in nodes)), F.col("_n") + 1)
 
 
-def _key(dims: int) -> Column:
-    """63 bits: 16 of the dimension ``_d``, 31 of the text's hash, 16 of the row's."""
-    x = F.element_at(F.array(*(F.col(f"_x{i}") for i in range(dims))), F.col("_d").cast("int") + 1)
+def _key(nodes: list[Node], dims: int) -> Column:
+    """63 bits: 16 of the dimension of the row's node, 31 of the text's hash, 16 of the row's."""
+    x = F.element_at(F.array(*(F.col(f"_x{i}") for i in range(dims))), _pick(nodes, lambda n: n.dim).cast("int") + 1)
     return F.shiftleft(x, 47) + F.shiftleft(F.col("_t"), 16) + F.col("_r")
 
 
-def _descend(df: DataFrame, level: list[Node], dims: int) -> DataFrame:
-    nodes = _values(df.sparkSession, "_n, _d, _cut, _left, _right", [(x.id, x.dim, x.cut, x.left, x.right) for x in level])
-    to = F.when(F.col("_d").isNull(), F.col("_n")).when(_key(dims) < F.col("_cut"), F.col("_left")).otherwise(F.col("_right"))
-    return df.join(nodes, "_n", "left").withColumn("_n", to).drop("_d", "_cut", "_left", "_right")
+def _descend(df: DataFrame, nodes: list[Node], dims: int) -> DataFrame:
+    """Rows of split nodes go on to a child; a leaf stays."""
+    to = F.when(_key(nodes, dims) < _pick(nodes, lambda x: x.cut), _pick(nodes, lambda x: x.left or x.id)).otherwise(_pick(nodes, lambda x: x.right or x.id))
+    return df.withColumn("_n", to.cast("int"))
 
 
-def _cut_level(placed: DataFrame, level: list[Node], totals: dict[int, int], dims: int, tolerance: int) -> None:
+def _cut_level(placed: DataFrame, nodes: list[Node], level: list[Node], totals: dict[int, int], dims: int, tolerance: int) -> None:
     """Sets each node's cut: the key at which its left shards are full."""
     end = (1 << 63) - 1
     lo, hi, below = ({x.id: v for x in level} for v in (0, end, 0))
@@ -65,8 +64,9 @@ def _cut_level(placed: DataFrame, level: list[Node], totals: dict[int, int], dim
     live = {x.id: x for x in level}
     while live:
         width = {i: max(1, -(-(hi[i] - lo[i]) // CELLS)) for i in live}
-        nodes = _values(placed.sparkSession, "_n, _d, _lo, _last, _w", [(i, x.dim, lo[i], max(lo[i], hi[i] - 1), width[i]) for i, x in live.items()])
-        keyed = placed.join(nodes, "_n").withColumn("_k", _key(dims)).filter("_k BETWEEN _lo AND _last")
+        own = lambda values, other: _pick(nodes, lambda x: values[x.id] if x.id in live else other)  # noqa: B023, E731
+        last = {i: max(lo[i], hi[i] - 1) for i in live}
+        keyed = placed.select("_n", "_size", _key(nodes, dims).alias("_k"), own(lo, 0).alias("_lo"), own(last, -1).alias("_last"), own(width, 1).alias("_w")).filter("_k BETWEEN _lo AND _last")
         rows = keyed.groupBy("_n", F.expr("(_k - _lo) div _w").alias("_c")).agg(F.sum("_size"), F.count(F.lit(1))).collect()
         cells: dict[int, list[tuple[int, int, int]]] = {}
         for n, c, w, count in rows:
@@ -105,29 +105,32 @@ def kd_shards(docs: DataFrame, shards: int, dims: list[Column], size: Column, id
         lo, hi = ends[1 + 2 * i], ends[2 + 2 * i]
         span = (hi - lo) if lo is not None and hi > lo else 1.0
         scaled[f"_x{i}"] = F.coalesce(F.least(F.lit(65535), F.floor((F.col(f"_d{i}") - F.lit(lo or 0.0)) / F.lit(span) * 65535)), F.lit(0)).cast("long")
-    placed = meta.withColumns(scaled).drop(*(f"_d{i}" for i in range(n))).withColumn("_n", F.lit(0).cast("long"))
+    placed = meta.withColumns(scaled).drop(*(f"_d{i}" for i in range(n))).withColumn("_n", F.lit(0))
     nodes = [Node(0, 0, shards)]
+    before = meta
     while level := [x for x in nodes if x.shards > 1 and not x.right]:
-        at = _values(placed.sparkSession, "_n", [(x.id,) for x in level])
-        stats = placed.join(at, "_n").groupBy("_n").agg(F.sum("_size"), *(F.max(f"_x{i}") - F.min(f"_x{i}") for i in range(n))).collect()
+        placed = stored(placed, "shard-level")
+        discard(before)
+        before = placed
+        stats = placed.groupBy("_n").agg(F.sum("_size"), *(F.max(f"_x{i}") - F.min(f"_x{i}") for i in range(n))).collect()
         widths = {r[0]: r[2:] for r in stats}
         totals = {r[0]: r[1] for r in stats}
         for x in level:
             x.dim = max(range(n), key=lambda d, w=widths.get(x.id, (0,) * n): (w[d], -d))
-        leaf_bytes = sum(totals.values()) / sum(x.shards for x in level)
-        _cut_level(placed, level, totals, n, int(tolerance * leaf_bytes))
+        leaf_bytes = sum(totals.values()) / shards
+        _cut_level(placed, nodes, level, totals, n, int(tolerance * leaf_bytes))
         for x in level:
             h = x.shards // 2
             x.left, x.right = len(nodes), len(nodes) + 1
             nodes += [Node(x.left, x.first, h), Node(x.right, x.first + h, x.shards - h)]
-        placed = _descend(placed, level, n)
-    leaves = _values(placed.sparkSession, "_n, shard", [(x.id, x.first) for x in nodes if x.shards == 1])
+        placed = _descend(placed, nodes, n)
+    placed = placed.withColumn("shard", _pick(nodes, lambda x: x.first).cast("int"))
     subs = max(1, -(-ends[0] // (SLOT_ROWS * shards)))
-    placed = placed.join(leaves, "_n").withColumn("shard", F.col("shard").cast("int")).withColumn("_s", F.pmod(F.xxhash64("_t", "_r", F.lit(3)), F.lit(subs)).cast("int"))
+    placed = placed.withColumn("_s", F.pmod(F.xxhash64("_t", "_r", F.lit(3)), F.lit(subs)).cast("int"))
     counts = placed.groupBy("shard", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("shard").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_s", F.coalesce("_before", F.lit(0)).alias("_before"))
+    ahead = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("shard").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_s", F.coalesce("_before", F.lit(0)).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("shard", "_s").orderBy("_t", "_r", id_col)) - 1
-    return placed.withColumn("_nth", nth).join(before, ["shard", "_s"]).select(id_col, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_nth") + F.col("_before")).cast("long").alias("slot"))
+    return placed.withColumn("_nth", nth).join(ahead, ["shard", "_s"]).select(id_col, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_nth") + F.col("_before")).cast("long").alias("slot"))
 
 
 def document_dims() -> list[Column]:
