@@ -54,7 +54,8 @@ def collect_features(rows: DataFrame, text_col: str, keep: list[str], make) -> t
             x = np.minimum(make(part.column(at)), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), tk.binary_array([r.tobytes() for r in x])], names=[*keep, "_x"])
 
-    got = kept.mapInArrow(run, schema).collect()
-    got.sort(key=lambda r: tuple((v is not None, v) for v in r[: len(keep)]))
-    x = np.array([np.frombuffer(r["_x"], np.uint16) for r in got], np.float32) if got else np.zeros((0, 0), np.float32)
-    return x, [tuple(r[: len(keep)]) for r in got]
+    got = kept.mapInArrow(run, schema).toArrow()
+    order = np.lexsort([np.asarray(got.column(k).to_pylist()) for k in reversed(keep)]) if got.num_rows else []
+    rows_ = list(zip(*(got.column(k).to_pylist() for k in keep), strict=True))
+    x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.uint16).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 0), np.uint16)
+    return x[order].astype(np.float32) if len(x) else np.zeros((0, 0), np.float32), [rows_[i] for i in order]

@@ -101,7 +101,7 @@ class FamilyThenLanguage:
 
 def fit(docs: DataFrame, per_language: int = 600, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> FamilyThenLanguage | None:
     """Learns from about ``per_language`` rows of each language, chosen by hash of the id."""
-    sound = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sound = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     n = {r[0]: r[1] for r in sound.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
     if not n:
         return None

@@ -20,7 +20,7 @@ from . import grams
 from . import textkit as tk
 from .common import crc_mod, table, with_fields
 
-BITS = 11
+BITS = 10
 #: Number of style shares, and their weight against the text's unit vector.
 STYLE, STYLE_WEIGHT = 6, 2.0
 
@@ -97,7 +97,7 @@ class LatentVoting:
         return np.where(total > 0, (s * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.prior).astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, rank: int = 32, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LatentVoting | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, rank: int = 24, neighbours: int = 9, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LatentVoting | None:
     """Learns from at most ``per_label`` rows of each label, the first by hash of the id.
 
     Rows with null id, text or label, or a label other than 0 and 1, are not used.  None if no row is left.
