@@ -275,3 +275,45 @@ def test_rationale_folds_into_its_target(nodes, edges):
     n = nodes(("w", "Decision: we keep the old parser because of speed."), ("p", "Parser"), ("c", "Idea", "concept"))
     left, e = build.fold_rationale(n, edges(("w", "p", "rationale_for", "EXTRACTED"), ("c", "p")))
     assert rows(left, "id", "rationale") == [("p", ["Decision: we keep the old parser because of speed."])] and e.count() == 0
+
+
+def test_render_keeps_to_its_budget(spark, nodes, edges):
+    s = build.collapse_edges(edges(*[("hub", f"n{i}") for i in range(30)]))
+    nb, deg, n = analyze.neighbors(s), analyze.degree(s), nodes(("hub", "Hub\x07"), *[(f"n{i}",) for i in range(30)])
+    reached, via = traverse.bfs(nb, deg, spark.createDataFrame([("hub",)], "id string"), 1, 50)
+    full = search.render(reached, via, n, deg, s)
+    assert full.startswith("NODE Hub [src=hub.py loc= community=0]\n") and full.count("EDGE Hub --calls [EXTRACTED]--> ") == 30
+    short = search.render(reached, via, n, deg, s, tokens=100)
+    assert len(short) < 400 and short.count("NODE ") + int(short.split("truncated: ")[1].split()[0]) == 31
+
+
+def test_fragments(spark, nodes, edges):
+    h = spark.createDataFrame([("h", ["a"]), ("g", ["a", "b"]), ("big", [str(i) for i in range(300)])], "id string, members array<string>")
+    got = build.fragment_errors(nodes(("a",), (" ",), ("x" * 300,)), edges(("a", "b\x01"), (None, "a")), h)
+    assert sorted((r["kind"], r["row_id"][:5]) for r in got.collect()) == [("edge_id", "?"), ("edge_id", "b\x01"), ("hyperedge_members", "big"), ("hyperedge_members", "h"), ("node_id", " "), ("node_id", "xxxxx")]
+    s = "id string, label string, file_type string, ord long"
+    one = (spark.createDataFrame([("a", "first", None, 5)], s), edges(("a", "b")))
+    two = (spark.createDataFrame([("a", "second", "code", 1)], s), edges(("b", "a")))
+    n, e = build.union_fragments(one, two)
+    assert n.orderBy("ord").first()["label"] == "first" and e.count() == 2
+    assert rows(build.upsert_nodes(n.limit(0), n, "first"), "label") == [("first",)]
+    assert spark.range(1).select(build.cost(F.lit(2_000_000), F.lit(1_000_000), 1.5, 2.0)).first()[0] == 5.0
+
+
+def test_edge_diagnostics_counts(spark, nodes):
+    from weftgraph.operators import diagnostics
+
+    s = "src string, dst string, relation string, confidence string, context string, source_file string"
+    e = spark.createDataFrame([("a", "b", "calls", "E", None, "f"), ("a", "b", "calls", "E", None, "f"), ("a", "b", "uses", "E", "x", "f"), ("b", "a", "calls", "E", None, "g"), ("a", "gone", "calls", "E", None, "f"), ("a", None, "calls", "E", None, "f"), ("b", "b", "calls", "E", None, "f")], s)
+    r = diagnostics.edge_diagnostics(nodes(("a",), ("b",)), e).first().asDict()
+    assert r == {"total": 7, "missing_endpoint": 1, "dangling": 1, "self_loops": 1, "valid": 5, "exact_duplicates": 1, "directed_collapse": 2, "undirected_collapse": 3}
+    assert rows(diagnostics.same_endpoint_groups(e.filter("dst = 'b'"))) == [("a", "b", 3, 2, 1, 1, 2)]
+
+
+def test_communities_split_and_hubs(spark, nodes, edges):
+    s = build.collapse_edges(edges(*[(f"a{i}", f"a{j}") for i in range(6) for j in range(i)], *[(f"b{i}", f"b{j}") for i in range(6) for j in range(i)], ("a0", "b0")))
+    whole = s.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().withColumn("community", F.lit(0))
+    assert cluster.split_oversized(s, whole).select("community").distinct().count() == 2
+    n = nodes(*[(f"{g}{i}", "x", "code", "f.py", k) for k, g in enumerate("ab") for i in range(6)])
+    hubs = spark.createDataFrame([("a0",)], "id string")
+    assert rows(analyze.hub_reattach(hubs, s, n)) == [("a0", 0)]

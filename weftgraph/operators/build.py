@@ -236,3 +236,35 @@ def fold_rationale(nodes: DataFrame, edges: DataFrame, min_chars: int = 80, min_
     said = nodes.filter(prose).join(told, "id", "left_semi").select("id").union(nodes.filter(typed).select("id")).distinct()
     left = nodes.join(said, "id", "left_anti")
     return left.join(folded, F.col("id") == F.col("_to"), "left").drop("_to"), prune_dangling(left, edges)
+
+
+# Limits of one fragment.
+FRAGMENT_LIMITS = {"nodes": 10_000, "edges": 100_000, "hyperedges": 10_000}
+MAX_MEMBERS, MAX_ID = 256, 256
+
+
+def fragment_errors(nodes: DataFrame, edges: DataFrame, hyper: DataFrame) -> DataFrame:
+    """(kind, row_id) of what makes a fragment unsafe to merge: too many rows, ids that are empty, too
+    long, hold other than ``A-Za-z0-9._:-`` or two dots, hyperedges with too few or too many members."""
+    bad_id = lambda c: ~c.rlike("^[A-Za-z0-9._:-]+$") | c.contains("..") | (F.length(c) > MAX_ID)
+    out = nodes.filter(F.col("id").isNull() | bad_id(F.col("id"))).select(F.lit("node_id").alias("kind"), F.substring(F.coalesce("id", F.lit("?")), 1, MAX_ID).alias("row_id"))
+    for end in ("src", "dst"):
+        out = out.union(edges.filter(F.col(end).isNull() | bad_id(F.col(end))).select(F.lit("edge_id"), F.substring(F.coalesce(end, F.lit("?")), 1, MAX_ID)))
+    out = out.union(hyper.filter((F.coalesce(F.size("members"), F.lit(0)) < 2) | (F.size("members") > MAX_MEMBERS)).select(F.lit("hyperedge_members"), F.coalesce("id", F.lit("?"))))
+    for name, df in (("nodes", nodes), ("edges", edges), ("hyperedges", hyper)):
+        out = out.union(df.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FRAGMENT_LIMITS[name]).select(F.lit(f"too_many_{name}"), F.col("n").cast("string")))
+    return out
+
+
+def union_fragments(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of several fragments in order; ``ord`` is made to follow the order of fragments."""
+    shift = lambda df, i: df.withColumn("ord", F.lit(i).cast("long") * F.lit(1 << 40) + F.col("ord"))
+    nodes, edges = shift(parts[0][0], 0), shift(parts[0][1], 0)
+    for i, (n, e) in enumerate(parts[1:], 1):
+        nodes, edges = nodes.unionByName(shift(n, i), allowMissingColumns=True), edges.unionByName(shift(e, i), allowMissingColumns=True)
+    return nodes, edges
+
+
+def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
+    """Price of model tokens, at prices for a million."""
+    return (tokens_in * price_in + tokens_out * price_out) / 1_000_000

@@ -138,3 +138,30 @@ def node_neighbors(edges: DataFrame, node: str, relation: str = "") -> DataFrame
     e = edges.filter(F.contains(F.lower("relation"), F.lit(relation.lower())))
     out = e.filter(F.col("src") == node).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "relation")
     return out.union(e.filter(F.col("dst") == node).select(F.lit("in"), "src", "relation")).distinct()
+
+
+def render(reached: DataFrame, via: DataFrame, nodes: DataFrame, degrees: DataFrame, simple: DataFrame, tokens: int = 2000) -> str:
+    """A subgraph as text within a budget of about 3 characters a token: nodes by degree, then edges.
+
+    Only as many rows as can fit the budget come to the driver; the text ends with the number of
+    nodes that were left out.
+    """
+    budget, least = tokens * 3, 20  # a line has more characters than this
+    clean = lambda c: F.substring(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\x00-\x1F\x7F]", ""), 1, 256)
+    own = reached.select("id").distinct()
+    place = clean("source_location") if "source_location" in nodes.columns else F.lit("")
+    named = own.join(nodes, "id").join(degrees, "id", "left")
+    lines = named.orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id").limit(budget // least).select(F.concat(F.lit("NODE "), clean("label"), F.lit(" [src="), clean("source_file"), F.lit(" loc="), place, F.lit(" community="), clean("community"), F.lit("]")).alias("line"))
+    label = lambda end: nodes.select(F.col("id").alias(end), clean("label").alias(f"{end}_label"))
+    pair = simple.select("lo", "hi", "relation", "confidence", "context")
+    e = via.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")}).join(pair, ["lo", "hi"]).join(label("src"), "src").join(label("dst"), "dst")
+    context = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit(" context="), clean("context"))).otherwise("")
+    edges = e.orderBy("level", "src", "dst").limit(budget // least).select(F.concat(F.lit("EDGE "), "src_label", F.lit(" --"), clean("relation"), F.lit(" ["), clean("confidence"), context, F.lit("]--> "), "dst_label").alias("line"))
+    total = own.count()
+    text = "\n".join(r[0] for r in [*lines.collect(), *edges.collect()])
+    if len(text) <= budget and total <= budget // least:
+        return text
+    cut = text.rfind("\n", 0, budget)
+    text = text[: cut if cut > 0 else budget]
+    shown = sum(x.startswith("NODE ") for x in text.split("\n"))
+    return f"{text}\n... (truncated: {total - shown} more nodes are beyond the budget of about {tokens} tokens)"
