@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, mix, neardup, quality, shard
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import by_bitmap, id_bitmap, stored, table
 
 #: Prefix of the columns that operators add on the way, clear of those of ``documents``.
 OWN = "_weft_"
@@ -31,7 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(neardup.near_duplicates(docs), "kept")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    bits = id_bitmap(gone, "doc_id")  # most texts surely stay, and are not shuffled
+    maybe = by_bitmap(docs, "doc_id", bits, inside=True).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = by_bitmap(docs, "doc_id", bits, inside=False).unionByName(maybe)
     if repeated:
         null_ids = kept.filter("doc_id IS NULL")
         kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(null_ids)

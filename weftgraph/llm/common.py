@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +57,31 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(id_col: str, m: int):
     """crc32 of the id written as text, modulo ``m``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(m))
+
+
+#: Bits of an id bitmap (2 MB): a fixed size, which filters less the more ids there are.
+BITMAP = 1 << 24
+
+
+def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of hashed ids, to tell most other rows apart without a shuffle."""
+    h = ids.select(F.pmod(F.xxhash64(col), F.lit(BITMAP)).alias("h"))
+    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("b")).collect()
+    out = np.zeros(BITMAP >> 6, np.uint64)
+    for w, b in words:  # BITMAP / 64 at most
+        out[w] = np.uint64(b & (2**64 - 1))
+    return out
+
+
+def by_bitmap(df: DataFrame, col: str, bits: np.ndarray, inside: bool) -> DataFrame:
+    """Rows whose id may be in the bitmap, or those whose id surely isn't."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            h = np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), np.int64)
+            hit = (sent.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit if inside else ~hit))
+
+    # the hash comes last, whatever the names of the columns
+    return df.select("*", F.pmod(F.xxhash64(col), F.lit(BITMAP)).alias("_weft_h")).mapInArrow(run, df.schema)

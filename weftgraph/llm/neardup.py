@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import discard, stored, table
+from .common import by_bitmap, discard, id_bitmap, stored, table
 from .components import components
 
 BANDS, PER_BAND = 40, 3  # permutations of a band: 6 values of the signature
@@ -200,7 +200,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     entries = classes.filter(F.col("n_shingles") >= least).select("rep", F.explode("_bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
     bucket = stored(entries.join(shared, "key"), "buckets")
-    sets = stored(full_sets(base.join(bucket.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words), "sets")
+    banded = bucket.select(F.col("rep").alias("id")).distinct()
+    likely = by_bitmap(base, "id", id_bitmap(banded, "id"), inside=True)  # few other texts are shuffled
+    sets = stored(full_sets(likely.join(banded, "id", "left_semi"), words), "sets")
     label, turn = None, 0
     while True:
         labelled = bucket.withColumn("comp", F.col("rep")) if label is None else bucket.join(label, bucket.rep == label.node, "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
