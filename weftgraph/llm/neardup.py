@@ -104,6 +104,8 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
+#: Pairs compared before their rows are handed on.
+PAIRS = 256
 #: Pivots of a bucket grow by this factor each round.
 GROWTH = 16
 #: Radius around a pivot, in units of the difference that two linked sets of its size may have.
@@ -123,21 +125,25 @@ def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     both = left.join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     share = (100 - per_cent) / (100 + per_cent)
 
+    def part_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
+        na, nb, linked, settled, delta = [], [], [], [], []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
+            diff = np.setxor1d(x, y, assume_unique=True)
+            total = len(x) + len(y)  # of it the intersection counts twice
+            radius = 2 * RADIUS * share * len(x)
+            na.append(len(x))
+            nb.append(len(y))
+            linked.append(100 * (total - len(diff)) >= per_cent * (total + len(diff)))
+            settled.append(linked[-1] or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius)
+            delta.append(diff.view(np.int64) if len(diff) <= radius + 1e-6 else None)
+        return pa.RecordBatch.from_arrays([a, b, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(settled, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "settled", "delta"])
+
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
-            na, nb, linked, settled, delta = [], [], [], [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
-                diff = np.setxor1d(x, y, assume_unique=True)
-                total = len(x) + len(y)  # of it the intersection counts twice
-                radius = 2 * RADIUS * share * len(x)
-                na.append(len(x))
-                nb.append(len(y))
-                linked.append(100 * (total - len(diff)) >= per_cent * (total + len(diff)))
-                settled.append(linked[-1] or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius)
-                delta.append(diff.view(np.int64).tolist() if len(diff) <= radius + 1e-6 else None)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(settled, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "settled", "delta"])
+            for i in range(0, batch.num_rows, PAIRS):
+                yield part_of(batch.slice(i, PAIRS))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, linked boolean, settled boolean, delta array<long>")
 
