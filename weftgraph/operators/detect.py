@@ -107,8 +107,8 @@ def _ignore_regex(pattern: str) -> str:
     anchored = "/" in body
     body = body.lstrip("/")
     rx = ""
-    for part in re.split(r"(\*\*/|/\*\*|\*\*)", body):
-        rx += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*"}.get(part) or re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(part)).replace(".*", "[^/]*").replace("(?s:", "(?:")
+    for part in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*)", body):
+        rx += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*"}.get(part) or re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(part)).replace(".*", "[^/]*").replace("(?s:", "(?:")
     return f"^{rx}$" if anchored else f"^(?:.*/)?{rx}$"
 
 
