@@ -82,3 +82,15 @@ def test_without_training_and_empty_table(spark, docs):
     rows = [(1, "a b"), (2, None)]
     same(run(lm.score_texts(docs(*rows), F.lit(False))), brute(rows, lambda d: False))
     assert lm.score_texts(docs(*rows).limit(0), F.lit(True)).count() == 0
+
+
+def test_counts_of_large_corpora_do_not_saturate():
+    n = np.array([1, 2_353_974, 2_400_001, 25_000_000, 10**12, 2**62])
+    assert (np.abs(np.log2(E.dequantise(E.quantise(n)) / n)) <= 0.5 / E.STEPS + 1e-9).all()
+    c, s = np.full(3, 7, np.uint64), np.arange(3, dtype=np.uint64)
+    shard = lm.build_shard([c, c], [s, s], [np.array([3, 2_000_000, 20_000_000]), np.array([0, 1_500_000, 30_000_000])])
+    opened = E.BigramTrie.from_buffer(shard.to_bytes())
+    for t in (shard, opened):
+        code = lm._unpack_codes(lm._pack_codes(t.lookup(c[:1], np.array([3]), s)))
+        assert np.abs(E.dequantise(code) / [3, 3_500_000, 50_000_000] - 1).max() < 0.03
+    assert not len(lm._unpack_codes(lm._pack_codes(np.zeros(0, np.uint16))))

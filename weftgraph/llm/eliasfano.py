@@ -122,7 +122,7 @@ class EliasFano:
         return {"n": self.n, "low_bits": self.low_bits}, [self.low, self.high]
 
 
-#: Counts are quantised to powers of 2 ** (1 / STEPS) in one byte.
+#: Counts are quantised to powers of 2 ** (1 / STEPS); codes of two bytes hold any count.
 STEPS = 12
 
 
@@ -130,7 +130,7 @@ def quantise(count: np.ndarray) -> np.ndarray:
     """0 for 0, else 1 + the nearest step of the logarithm."""
     c = np.asarray(count, np.float64)
     code = 1 + np.rint(STEPS * np.log2(np.maximum(c, 1)))
-    return np.where(c > 0, np.minimum(code, 255), 0).astype(np.uint8)
+    return np.where(c > 0, code, 0).astype(np.uint16)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ class BigramTrie:
     def lookup(self, context: np.ndarray, runs: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of the successors, the first ``runs[0]`` of which belong to ``context[0]`` and so on;
         0 where a bigram isn't in the trie."""
-        out = np.zeros(len(successor), np.uint8)
+        out = np.zeros(len(successor), np.uint16)
         i = self.contexts.index_of(context)
         if not len(i) or not self.successors.n:
             return out
@@ -202,7 +202,7 @@ class BigramTrie:
                 arrays.append(data[at : at + 8 * n].view(np.uint64))
                 at += 8 * n
             parts.append(EliasFano(level["n"], level["low_bits"], *arrays))
-        return cls(*parts, data[at : at + head["codes"]])
+        return cls(*parts, data[at : at + 2 * head["codes"]].view(np.uint16))
 
     @classmethod
     def open(cls, path: str) -> BigramTrie:

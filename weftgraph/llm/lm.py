@@ -74,6 +74,15 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack_codes(x: np.ndarray) -> bytes:
+    """The low bytes, then the high ones, which are nearly all 0 and compress away."""
+    return blob(np.ascontiguousarray(x.astype("<u2").view(np.uint8).reshape(-1, 2).T))
+
+
+def _unpack_codes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 def build_shard(context: list[np.ndarray], successor: list[np.ndarray], count: list[np.ndarray]) -> BigramTrie:
     """A trie of the summed counts of several chunks; bigrams without training count are left out."""
     c, s, n = (np.concatenate(x) for x in (context, successor, count))
@@ -136,7 +145,7 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             ctx, runs = column(t, "a", np.uint64), [x.astype(np.int64) for x in column(t, "b", np.uint32)]
             suc = [_unpack40(x) for x in t.column("c").to_pylist()]
             shard = build_shard([np.repeat(k, r) for k, r in zip(ctx, runs, strict=True)], suc, [x.astype(np.int64) for x in column(t, "d", np.uint32)])
-            out = [blob(shard.lookup(c, r, x)) for c, r, x in zip(ctx, runs, suc, strict=True)]
+            out = [_pack_codes(shard.lookup(c, r, x)) for c, r, x in zip(ctx, runs, suc, strict=True)]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": t.column("kind"), "a": tk.binary_array(out)})
 
     answers = sent.groupBy("kind", "bucket").applyInArrow(answer, "chunk int, bucket int, kind int, a binary")
@@ -162,13 +171,13 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
         keys, idx, ctx, off, _ = _tokens(t)
         at, c, s, cut2 = _pairs(keys, idx, ctx, buckets)
         cut1 = bucket_slices(keys, buckets)
-        count, code = np.zeros(len(keys), np.int64), np.zeros(len(c), np.uint8)
+        count, code = np.zeros(len(keys), np.int64), np.zeros(len(c), np.uint16)
         n = v = 0
         for b, kind, raw in zip(got.column("bucket").to_pylist(), got.column("kind").to_pylist(), got.column("a").to_pylist(), strict=True):
             if kind == 0:
                 count[cut1[b] : cut1[b + 1]] = np.frombuffer(raw, np.int64)
             elif kind == 1:
-                code[cut2[b] : cut2[b + 1]] = np.frombuffer(raw, np.uint8)
+                code[cut2[b] : cut2[b + 1]] = _unpack_codes(raw)
             else:
                 n, v = (int(x) for x in np.frombuffer(raw, ">i8"))
         unigram = (count + 0.5) / (n + 0.5 * (v + 1))
