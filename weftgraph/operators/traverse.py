@@ -175,6 +175,12 @@ def depth_first(neighbors: DataFrame, deg: DataFrame, seeds: DataFrame, depth: i
     return rows.groupBy("one").applyInPandas(walk, "position int, id string")
 
 
+def pivots(neighbors: DataFrame, exact: int = 1000, sample: int = 100) -> DataFrame:
+    """(id) of every node of a graph of up to ``exact`` nodes, else of ``sample`` nodes by hash."""
+    ids = neighbors.select("id").distinct()
+    return ids if ids.limit(exact + 1).count() <= exact else ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+
+
 def betweenness(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
     """(id, score): shortest-path betweenness accumulated from the given pivots.
 

@@ -269,19 +269,19 @@ def _(c):
 
 @query("communities")
 def _(c):
-    return cluster.communities(_small(c))
+    return cluster.communities(_simple(c))
 
 
 @query("community_remap")
 def _(c):
-    now = cluster.communities(_small(c))
+    now = cluster.communities(_simple(c))
     return cluster.remap(now, c.nodes.select("id", "community"))
 
 
-def _small(c):
+def _simple(c):
     from ..operators import build
 
-    return build.collapse_edges(c.edges.filter("relation IN ('contains', 'references') AND NOT src LIKE 'order:%'"))
+    return build.collapse_edges(c.edges)
 
 
 # ---- sources

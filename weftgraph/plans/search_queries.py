@@ -172,9 +172,8 @@ def _(c):
 
 @query("betweenness")
 def _(c):
-    small = c.edges.filter("relation IN ('contains', 'references') AND (src LIKE 'supplier:%' OR src LIKE 'nation:%')")
-    nb = analyze.neighbors(build.collapse_edges(small))
-    return traverse.betweenness(nb, nb.select("id").distinct().filter("id LIKE 'nation:%'"))
+    nb, _ = _neighbors(c)
+    return traverse.betweenness(nb, traverse.pivots(nb))
 
 
 @query("query_graph")
