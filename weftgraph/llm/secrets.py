@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Runs of at least 16 key characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 MARK = "\x01"
 #: Characters kept before and after a candidate.
 CONTEXT = 64
@@ -28,6 +26,15 @@ CONTEXT = 64
 WORDS = "about after again also another back because been before being between both build cache class client code config could count create data date default delete does down each error event even every field file filter find first from function get good have header help here home html http image import index info input into item just keep key know label last left like line link list load local login long made main make many menu message method model more most much must name need never next node null number object only open option order other output over page panel param part path people place point post print query read record region request response result return right root same save search section select server service session should show size some source start state static status store string style such system table take task template test text than that their them then there these they thing this time title token tree type under update upload user value version view want well were what when where which while will with word work world would write year your".split()
 FOR = "secret|token|passw|passwd|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signing"
 AGAINST = "commit|sha[0-9]|md5|digest|checksum|integrity|etag|revision|uuid|guid|example|sample|dummy|placeholder|fixture|hash|build|version"
+#: In this order: headers of private keys; values of 6 characters or more after an assignment to a word
+#: that speaks for, up to their closing quote or else the next space, quote or query parameter; runs
+#: of at least 16 key characters with a digit among them, and padding.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    rf"""|(?<=[=:>\s"'])(?<=(?i:{FOR})[\w.-]{{0,24}}["']?[ \t]{{0,3}}(?:=>|:=|={{1,3}}|:)[ \t]{{0,3}}["']?)"""
+    r"""(?:(?<=")[^\s"]{6,}|(?<=')[^\s']{6,}|(?<!["'])(?=[^\s"']{6})[^\s"'&]+(?:&(?!\w{1,30}=)[^\s"'&]*){0,64}(?<![.,;)]))"""
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+)
 PATHS = "test|spec|example|sample|fixture|mock|docs?/|vendor|node_modules|\\.lock|\\.md$"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
 
@@ -51,7 +58,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "repeats": hits(low, "(.)\\1") / n,
         "dictionary": (n - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
         "uuid": flag(low, "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-        "prefixed": flag(value, "^(?:AKIA|ASIA|ghp_|gho_|ghs_|xox[bpa]-|sk_live_|rk_live_|AIza|eyJ)"),
+        "prefixed": flag(value, "^(?:AKIA|ASIA|ghp_|gho_|ghs_|xox[bpa]-|sk_live_|rk_live_|AIza|eyJ|-----BEGIN )"),
         "word_for": flag(before, FOR),
         "word_against": flag(F.concat(before, F.lit(" "), after), AGAINST),
         "assigned": flag(before, "[=:]>?\\s*[\"']?$"),
@@ -108,11 +115,32 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[Finding]:
         )()
         value = value if any(c.isdigit() for c in value) else value + "7"
         out.append(Finding(value.ljust(16, "0"), before, after, r.choice([path, path, "tests/data/sample.json", "docs/guide.md", "yarn.lock"]), 0))
+    return out + _assigned_findings(r, n // 2)
+
+
+def _assigned_findings(r: random.Random, n: int) -> list[Finding]:
+    """Values of any length and characters beside words that speak for, and headers of private keys."""
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    alnum = string.ascii_letters + string.digits
+    out = []
+    for i in range(n):
+        path = r.choice(["src/app.py", "src0", "src7", "config/settings.yml", "deploy/prod.env", ".env", ""])
+        filler = " ".join(r.choice(WORDS) for _ in range(r.randint(0, 5)))
+        name = r.choice(["token", "secret", "api_key", "password", "passwd", "auth", "DB_PASSWORD", "SECRET_KEY", "API_TOKEN", "private_key", "credential"])
+        before, after = r.choice([(f"{filler}\n{name}=", "\n"), (f"{filler}\n{name}=", f"\n{filler}"), (f"{name}: ", f" {filler}"), (f'{filler} {name} = "', f'" {filler}'), (f'"{name}": "', '",')])
+        long = [w for w in WORDS if len(w) >= 6]
+        if i % 2:
+            value = r.choice([lambda: pick(alnum + "!@#$%^*~?.", r.randint(7, 15)) + r.choice("!@#7x"), lambda: pick(string.ascii_letters, r.randint(12, 30)), lambda: pick(alnum, r.randint(8, 40)), lambda: pick("0123456789abcdef", 40), lambda: "ghp_" + pick(alnum, 36), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16)])()
+            if i % 20 == 1:
+                value, before, after = f"-----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----", f"{filler}\n", "\n" + pick(alnum, 40)
+        else:
+            value = r.choice([lambda: r.choice(long), lambda: r.choice(long).capitalize(), lambda: "_".join(r.choice(WORDS) for _ in range(3)), lambda: f"{r.choice(long)}.{r.choice(long)}", lambda: f"{r.choice(long)}()", lambda: "${" + r.choice(long).upper() + "}", lambda: "x" * r.randint(6, 14), lambda: "*" * r.randint(6, 12), lambda: f"<{r.choice(long)}>", lambda: "process.env." + r.choice(long).upper()])()
+        out.append(Finding(value, before, after, path, i % 2))
     return out
 
 
 def _findings_df(spark: SparkSession, found: list[Finding]) -> DataFrame:
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("$", "\\u0024") + "'"
     body = ", ".join(f"({i}, {quote(f.value)}, {quote(f.before[-CONTEXT:])}, {quote(f.after[:CONTEXT])}, {quote(f.path)}, {f.label})" for i, f in enumerate(found))
     return spark.sql(f"SELECT * FROM VALUES {body} AS f(i, value, before, after, path, label)")
 
