@@ -31,7 +31,7 @@ AGAINST = "commit|sha[0-9]|md5|digest|checksum|integrity|etag|revision|uuid|guid
 #: of at least 16 key characters with a digit among them, and padding.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-    rf"""|(?<=[=:>\s"'])(?<=(?i:{FOR})[\w.-]{{0,24}}["']?[ \t]{{0,3}}(?:=>|:=|={{1,3}}|:)[ \t]{{0,3}}["']?)"""
+    rf"""|(?<=[=:>\s"'])(?<=[=:>][ \t]{{0,3}}["']?)(?<=(?i:{FOR})[\w.-]{{0,24}}["']?[ \t]{{0,3}}(?:=>|:=|={{1,3}}|:)[ \t]{{0,3}}["']?)"""
     r"""(?:(?<=")[^\s"]{6,}|(?<=')[^\s']{6,}|(?<!["'])(?=[^\s"']{6})[^\s"'&]+(?:&(?!\w{1,30}=)[^\s"'&]*){0,64}(?<![.,;)]))"""
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
