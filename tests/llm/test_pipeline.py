@@ -66,6 +66,20 @@ def test_repeated_rows_and_clashing_columns(spark, folder, tmp_path):
     assert C.STAGES[4][1](spark, docs, d).count() == docs.count()
 
 
+def test_rows_without_unique_ids(spark, folder):
+    """Different texts under one id and rows without an id are documents of their own in every stage."""
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 240 AND doc_id % 4 > 0")
+    texts = {r[0] for r in docs.select("text").collect()}
+    for id_ in (None, 9):
+        same = docs.withColumn("doc_id", F.lit(id_).cast("long"))
+        assert {r[0] for r in C.near_dedup(spark, same, d).select("text").collect()} == texts
+        assert {r[0] for r in C.decontamination(spark, same, d).select("text").collect()} == texts
+        assert {r[0] for r in C.quality_filter(spark, same.union(docs), d).select("text").collect()} >= texts
+        placed = C.sharding(spark, same, d)
+        assert placed.count() == same.count()
+
+
 def test_registry_names():
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in registry.QUERIES if n.startswith(f"op{k}_")]
     assert len(registry.QUERIES) == 10 and set(registry.SQL) <= set(registry.QUERIES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,36 +11,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkit as tk
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a local one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "/tmp/checkpoints/weftgraph"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of tables by the calls of ``settled`` that are under way.
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: cuts
     lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _MADE:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables made by ``stored`` that nothing will read again."""
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
             if "/weft-" in path:
-                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+                _remove(df.sparkSession, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()``, stored; all the other tables stored on the way are removed."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        out = stored(make(), label)
+        for path in made[:-1]:  # those already discarded do no harm
+            _remove(spark, path)
+    finally:
+        _MADE.pop()
+    return out
 
 
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -84,4 +112,4 @@ def by_bitmap(df: DataFrame, col: str, bits: np.ndarray, inside: bool) -> DataFr
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit if inside else ~hit))
 
     # the hash comes last, whatever the names of the columns
-    return df.select("*", F.pmod(F.xxhash64(col), F.lit(BITMAP)).alias("_weft_h")).mapInArrow(run, df.schema)
+    return df.select("*", F.pmod(F.xxhash64(col), F.lit(BITMAP)).alias("_weft_bit")).mapInArrow(tk.handing_back(run), df.schema)

@@ -6,14 +6,18 @@ sets with the probability of their Jaccard similarity.  Bands of the signature a
 buckets of candidate texts.
 
 Texts with equal sets form a class, and only one of each class is banded.  Links
-are confirmed on the full sets.  A bucket is not expanded into pairs.  In each round its
+are confirmed on the full sets.  A bucket is not expanded into pairs.  Its
 pivot, a member of the largest buckets, is compared with all its members.  Links among
 those within a wide radius of the pivot are found by their differences to it: for |x ^ y| to be
 small enough, x and y must share so many of these that the rarest ones of each (a prefix,
 with the position of the shared one bounding what can follow) decide whether they are
 compared at all.  Differences are mostly edits of one text, so few pairs meet.  Members
-far within the radius are done then; the rest is the bucket of the next round, with many times as
-many pivots.  A bucket is also done once it lies in one component.
+far within the radius are done then; the rest meets more pivots once.  What no
+pivot settles is joined by the prefixes of the full sets, which is exact whatever the
+bucket looks like.  A bucket is also done once it lies in one component.
+
+No step gathers a bucket: the members of a pivot are dealt over as many tasks as their number
+asks for, each of which gets the pivot's set once.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import by_bitmap, discard, id_bitmap, stored, table
 from .components import components
 
 BANDS, PER_BAND = 40, 3  # permutations of a band: 6 values of the signature
+#: Sets of at most so many shingles have more bands, as the two ends of a small set depend on each other.
+SMALL, MORE = 64, 24
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
-_B = _RNG.integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64)
+_A = _RNG.integers(0, 2**63, (BANDS + MORE) * PER_BAND, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
+_B = _RNG.integers(0, 2**63, (BANDS + MORE) * PER_BAND, dtype=np.uint64)
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,117 +67,186 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, tk.U64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _bands(value: np.ndarray, off: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Keys of the bands from ``first`` to ``last`` for each row."""
+    out = np.zeros((len(off) - 1, last - first), np.uint64)
+    for b in range(first, last):
+        key = np.full(len(off) - 1, b, np.uint64)
+        for p in range(b * PER_BAND, (b + 1) * PER_BAND):
+            x = value * _A[p] + _B[p]
+            for f in (np.minimum, np.maximum):
+                key = tk.mix(key * tk.U64(0x2545F4914F6CDD1D) + tk.segment_reduce(f, x, off, tk.U64(0)))
+        out[:, b - first] = key
+    return out
+
+
 def _signatures(column: pa.Array, words: int) -> dict[str, pa.Array]:
     value, off = shingle_sets(column, words)
     n = np.diff(off)
     with np.errstate(over="ignore"):
         total = tk.segment_reduce(np.add, tk.mix(value), off, tk.U64(0))
         xor = tk.segment_reduce(np.bitwise_xor, tk.mix(value ^ tk.U64(0x5DEECE66D)), off, tk.U64(0))
-        bands = np.zeros((len(n), BANDS), np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(n), b, np.uint64)
-            for p in range(b * PER_BAND, (b + 1) * PER_BAND):
-                x = value * _A[p] + _B[p]
-                for f in (np.minimum, np.maximum):
-                    key = tk.mix(key * tk.U64(0x2545F4914F6CDD1D) + tk.segment_reduce(f, x, off, tk.U64(0)))
-            bands[:, b] = key
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+        bands = _bands(value, off, 0, BANDS)
+        small = np.flatnonzero(n <= SMALL)
+        row, nth = tk.expand(n[small])
+        more = _bands(value[off[small][row] + nth], np.concatenate([[0], np.cumsum(n[small])]), BANDS, BANDS + MORE)
+    count = np.full(len(n), BANDS)
+    count[small] += MORE
+    at = np.concatenate([[0], np.cumsum(count)])
+    flat = np.empty(at[-1], np.uint64)
+    flat[at[:-1, None] + np.arange(BANDS)] = bands
+    flat[at[small][:, None] + BANDS + np.arange(MORE)] = more
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
     return {"n_shingles": pa.array(n, pa.int64()), "_s1": pa.array(total.view(np.int64)), "_s2": pa.array(xor.view(np.int64)), "_bands": lists}
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, _s1, _s2, _bands) of (id, text); the two sums identify the set."""
+def _mapped(docs: DataFrame, make, fields: str) -> DataFrame:
+    """The columns of ``docs`` before the last one, its text, with those ``make`` computes from the text."""
+    first = docs.schema.fields[:-1]
+    schema = T.StructType([*first, *T._parse_datatype_string(fields).fields])
 
     def run(batches):
         for batch in batches:
             for part in tk.sub_batches(batch, "text", tk.SLICE_BYTES) if batch.num_rows else ():
-                new = _signatures(part.column(1), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), *new.values()], names=["id", *new])
+                new = make(part.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new.values()], names=schema.names)
+
+    return docs.mapInArrow(tk.handing_back(run), schema)
+
 
-    return docs.mapInArrow(run, "id long, n_shingles long, _s1 long, _s2 long, _bands array<long>")
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with n_shingles, _s1, _s2 and _bands for the text, its last column; the two
+    sums identify the set."""
+    return _mapped(docs, lambda text: _signatures(text, words), "n_shingles long, _s1 long, _s2 long, _bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes, eight bytes each."""
+    """``docs`` with ``set``, the sorted shingle hashes of the text, its last column, in eight bytes each."""
 
-    def run(batches):
-        for batch in batches:
-            for part in tk.sub_batches(batch, "text", tk.SLICE_BYTES) if batch.num_rows else ():
-                value, off = shingle_sets(part.column(1), words)
-                raw = value.tobytes()
-                sets = [raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), tk.binary_array(sets)], names=["id", "set"])
+    def make(text):
+        value, off = shingle_sets(text, words)
+        raw = value.tobytes()
+        return {"set": tk.binary_array([raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])}
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return _mapped(docs, make, "set binary")
 
 
 #: Pairs compared before their rows are handed on.
 PAIRS = 256
-#: Pivots of a bucket grow by this factor each round.
+#: Members of a group that one task gets for each of its groups.
+MEMBERS = 4096
+#: Pivots of a bucket in the second round, on average.
 GROWTH = 16
+#: Rounds with pivots, before the rest is joined by its sets.
+ROUNDS = 2
 #: Radius around a pivot, in units of the difference that two linked sets of its size may have.
 RADIUS = 4
 
 
+def _salt(members: str, of: str, share: int = MEMBERS):
+    """Part of a group of ``members`` rows that a row belongs to."""
+    return F.pmod(F.xxhash64(of, F.lit(5)), F.ceil(F.col(members) / share)).cast("int")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b, na, nb, linked, settled, delta) of pairs (a, b) of ids.
+    """(a, b, na, nb, linked, settled, delta) of pairs (a, b) of ids; ``m`` bounds the pairs of an ``a``.
 
     ``linked``: 100 * intersection >= per_cent * union.  ``delta``: the elements of one set only, if b is
     within the radius of a, else null.  ``settled``: b is linked, or so far within that it can't be
-    linked to a set beyond.
+    linked to a set beyond.  A task reads the set of ``a``, then streams those of its share of partners.
     """
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
-    own = sets.join(needed, "id", "left_semi")
-    left = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    dealt = pairs.select("a", "b", _salt("m", "b").alias("salt"))
+    ends = dealt.select("a", "salt", F.lit(0).alias("tail"), F.col("a").alias("id")).distinct().union(dealt.select("a", "salt", F.lit(1), F.col("b")))
+    rows = ends.join(sets, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").select("tail", "id", "set")
     share = (100 - per_cent) / (100 + per_cent)
-
-    def part_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, sa, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "sa", "sb"))
-        na, nb, linked, settled, delta = [], [], [], [], []
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (sa, sb))
-            diff = np.setxor1d(x, y, assume_unique=True)
-            total = len(x) + len(y)  # of it the intersection counts twice
-            radius = 2 * RADIUS * share * len(x)
-            na.append(len(x))
-            nb.append(len(y))
-            linked.append(100 * (total - len(diff)) >= per_cent * (total + len(diff)))
-            settled.append(linked[-1] or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius)
-            delta.append(diff.view(np.int64) if len(diff) <= radius + 1e-6 else None)
-        return pa.RecordBatch.from_arrays([a, b, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(settled, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "linked", "settled", "delta"])
+    names = ["a", "b", "na", "nb", "linked", "settled", "delta"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches):
+        a, x = None, None
         for batch in batches:
-            for i in range(0, batch.num_rows, PAIRS):
-                yield part_of(batch.slice(i, PAIRS))
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                out: list[list] = [[] for _ in names]
+                for tail, i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    y = np.frombuffer(raw.as_buffer(), np.uint64)
+                    if not tail:
+                        a, x = i, y.copy()
+                        continue
+                    diff = np.setxor1d(x, y, assume_unique=True)
+                    total = len(x) + len(y)  # of it the intersection counts twice
+                    radius = 2 * RADIUS * share * len(x)
+                    linked = 100 * (total - len(diff)) >= per_cent * (total + len(diff))
+                    settled = linked or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius
+                    row = (a, i, len(x), len(y), linked, settled, diff.view(np.int64) if len(diff) <= radius + 1e-6 else None)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+
+    return rows.mapInArrow(tk.handing_back(run), "a long, b long, na long, nb long, linked boolean, settled boolean, delta array<long>")
+
+
+def meeting(items: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b, m) of items of one group that may be linked by what their elements share.
+
+    An item (g, b, comp, nb, elements, keep, keep_any, late) is a set of nb elements, of which those in ``elements`` differ from
+    what its group has in common.  Items of one component don't meet, nor two with ``late``.  ``keep`` and
+    ``keep_any``: how many of an item's rarest elements any partner without ``late``, or any at all, must share one of.
+    """
+    share = (100 - per_cent) / (100 + per_cent)
+    size = items.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    d = items.join(size, "g").withColumn("d", F.size("elements"))
+    e = d.select("g", "b", "comp", "nb", "d", "late", "keep", "keep_any", _salt("m", "b").alias("salt"), F.explode("elements").alias("e"))
+    # an element of a whole group is counted and told part by part
+    parts = e.groupBy("g", "e", "salt").agg(F.count(F.lit(1)).alias("c"))
+    often = parts.groupBy("g", "e").agg(F.sum("c").alias("often")).filter("often > 1")
+    shared = e.join(parts.join(often, ["g", "e"]).select("g", "e", "salt", "often"), ["g", "e", "salt"])
+    rank = F.row_number().over(Window.partitionBy("g", "b").orderBy("often", "e"))
+    # elements of one item only come first in every order, but never meet
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("g", "b"))
+    ranked = shared.withColumn("r", rank + alone)
+    x = ranked.filter("r <= keep").select("g", "e", F.col("b").alias("x"), F.col("comp").alias("xc"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
+    y = ranked.filter("NOT late AND r <= keep_any").select("g", "e", F.col("b").alias("y"), F.col("comp").alias("yc"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
+    overlap = F.ceil((F.col("dx") + F.col("dy") - share * (F.col("nx") + F.col("ny"))) / 2 - 1e-6)
+    fits = (F.col("dx") - F.col("rx") + 1 >= overlap) & (F.col("dy") - F.col("ry") + 1 >= overlap)
+    hit = x.join(y, ["g", "e"]).filter((F.col("xc") != F.col("yc")) & (100 * F.least("nx", "ny") >= per_cent * F.greatest("nx", "ny")) & fits)
+    pairs = hit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
+
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, linked boolean, settled boolean, delta array<long>")
+def _with_comp(df: DataFrame, label: DataFrame | None, node: str) -> DataFrame:
+    """``df`` with ``comp``, the label of the column ``node``, which is its own where it has none."""
+    if label is None:
+        return df.withColumn("comp", F.col(node))
+    return df.join(label.select(F.col("node").alias(node), "root"), node, "left").withColumn("comp", F.coalesce("root", node)).drop("root")
 
 
 def beside(balls: DataFrame, label: DataFrame | None, per_cent: int) -> DataFrame:
-    """Pairs (a, b) within the radius of one pivot, at least one of them not linked to it, that
-    are in different components and may be linked by what their differences to the pivot share."""
+    """Pairs within the radius of one pivot, at least one of them not linked to it, that may be linked."""
     share = (100 - per_cent) / (100 + per_cent)
-    d = balls.filter("delta IS NOT NULL")
-    d = d.withColumn("comp", F.col("b")) if label is None else d.join(label, d.b == label.node, "left").withColumn("comp", F.coalesce("root", "b")).drop("node", "root")
-    d = d.join(d.filter("NOT linked").select("a").distinct(), "a", "left_semi").withColumn("d", F.size("delta"))
+    d = balls.filter("delta IS NOT NULL").withColumn("d", F.size("delta"))
+    d = d.join(d.filter("NOT linked").select("a").distinct(), "a", "left_semi")
     # the least overlap with any set that isn't linked to the pivot, and with any set at all
     floor = lambda x: F.floor(x / 2 - 1e-9).cast("int") + 1
     least = floor(F.col("d") + share * (F.col("na") - F.col("nb")))
     least_any = F.greatest(F.lit(1), floor(F.col("d") - share * (F.col("na") + F.col("nb"))))
-    e = d.select("a", "b", "comp", "nb", "d", "linked", (F.col("d") - least + 1).alias("keep"), (F.col("d") - least_any + 1).alias("keep_any"), F.explode("delta").alias("e"))
-    shared = e.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("a", "e"))).filter("often > 1")
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
-    # elements of one member only come first in every order, but never meet
-    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
-    ranked = shared.withColumn("r", rank + alone)
-    x = ranked.filter("r <= keep").select("a", "e", F.col("b").alias("x"), F.col("comp").alias("xc"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
-    y = ranked.filter("NOT linked AND r <= keep_any").select("a", "e", F.col("b").alias("y"), F.col("comp").alias("yc"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
-    overlap = F.ceil((F.col("dx") + F.col("dy") - share * (F.col("nx") + F.col("ny"))) / 2 - 1e-6)
-    fits = (F.col("dx") - F.col("rx") + 1 >= overlap) & (F.col("dy") - F.col("ry") + 1 >= overlap)
-    hit = x.join(y, ["a", "e"]).filter((F.col("xc") != F.col("yc")) & (100 * F.least("nx", "ny") >= per_cent * F.greatest("nx", "ny")) & fits)
-    return hit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    items = d.select(F.col("a").alias("g"), "b", "nb", F.col("delta").alias("elements"), (F.col("d") - least + 1).alias("keep"), (F.col("d") - least_any + 1).alias("keep_any"), F.col("linked").alias("late"))
+    return meeting(_with_comp(items, label, "b"), per_cent)
+
+
+def among(rest: DataFrame, sets: DataFrame, label: DataFrame | None, per_cent: int) -> DataFrame:
+    """Pairs of the ids in ``rest`` that may be linked, by the prefixes of their full sets."""
+
+    def run(batches):
+        for batch in batches:
+            raw = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.int64()))], names=["b", "elements"])
+
+    whole = sets.join(rest, "id", "left_semi").select("id", "set").mapInArrow(run, "b long, elements array<long>")
+    items = whole.select(F.lit(0).alias("g"), "b", F.size("elements").alias("nb"), "elements", F.lit(False).alias("late"))
+    # a linked partner has per_cent of the elements at least
+    keep = F.col("nb") - F.ceil(F.col("nb") * per_cent / 100 - 1e-9).cast("int") + 1
+    return meeting(_with_comp(items.withColumns({"keep": keep, "keep_any": keep}), label, "b"), per_cent)
 
 
 def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -188,59 +264,125 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_shingles, component_id and kept for the id of each row.
+def linked_classes(classes: DataFrame, sets_of, per_cent: int) -> DataFrame | None:
+    """Labels (node, root) of the classes (cid, n_shingles, _bands) that are linked to others.
 
-    A set is the distinct runs of ``words`` words (lower-cased A-Z, split at ASCII white
-    space); a text with fewer words is one run.  Texts without words, null texts included, are linked
-    with nothing.  Two sets are linked from ``per_cent`` percent of Jaccard similarity on; at 80
-    a link is missed with a probability of at most 6e-6.  ``component_id`` is the smallest id
-    reachable and ``kept`` marks it.  Repeated rows (equal id and text) get equal results; ids
-    are integers, and one id should not have two texts.
+    ``sets_of`` gives (id, set) for a table of class ids.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = stored(signatures(base, words), "signatures")
-    classes = stored(sig.filter("n_shingles > 0").groupBy("n_shingles", "_s1", "_s2").agg(F.min("id").alias("rep"), F.any_value("_bands").alias("_bands")), "classes")
     # a set of 3 or fewer is at most 3/4 similar to any other
     least = next(n for n in range(1, 1000) if 100 * n >= per_cent * (n + 1))
-    entries = classes.filter(F.col("n_shingles") >= least).select("rep", F.explode("_bands").alias("key"))
+    entries = classes.filter(F.col("n_shingles") >= least).select(F.col("cid").alias("rep"), F.explode("_bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
     bucket = stored(entries.join(shared, "key"), "buckets")
-    banded = bucket.select(F.col("rep").alias("id")).distinct()
-    likely = by_bitmap(base, "id", id_bitmap(banded, "id"), inside=True)  # few other texts are shuffled
-    sets = stored(full_sets(likely.join(banded, "id", "left_semi"), words), "sets")
-    label, turn = None, 0
-    while True:
-        labelled = bucket.withColumn("comp", F.col("rep")) if label is None else bucket.join(label, bucket.rep == label.node, "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
+    sets = stored(sets_of(bucket.select(F.col("rep").alias("id")).distinct()), "sets")
+    label = None
+    for turn in range(ROUNDS + 1):
+        labelled = _with_comp(bucket, label, "rep")
         open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("key", "members")
         live = stored(labelled.join(open_, "key").select("key", "rep", "members"), "live")
-        if not live.limit(1).count():
+        if live.isEmpty():
+            discard(live)
+            break
+        if turn == ROUNDS:
+            near = stored(among(live.select(F.col("rep").alias("id")).distinct(), sets, label, per_cent), "beside")
+            links = stored(compared(near, sets, per_cent).filter("linked").select("a", "b"), "links")
+            label = merged(label, links)
+            discard(live, near, links)
             break
         if turn:
-            lead = live.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"))
+            lead = live.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"), F.max("members").alias("members"))
         else:
             central = live.groupBy("rep").agg(F.sum("members").alias("central"))
-            lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"))
-        # beside the lead, others by chance: none at first, then many times as many each round
+            lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"), F.max("members").alias("members"))
+        # beside the lead, others by chance in the second round
         chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(GROWTH**turn - 1)) / F.col("members")
-        pivots = stored(lead.union(live.filter(chance).select("key", "rep")).distinct() if turn else lead, "pivots")
-        met = live.select("key", "rep").join(pivots, "key").filter("rep <> pivot")
-        balls = stored(compared(met.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets, per_cent), "balls")
+        pivots = stored(lead.union(live.filter(chance).select("key", "rep", "members")).distinct() if turn else lead, "pivots")
+        parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / (16 * MEMBERS)).cast("int") - 1))
+        met = live.withColumn("salt", _salt("members", "rep", 16 * MEMBERS)).join(pivots.select("key", "pivot", parts.alias("salt")), ["key", "salt"]).filter("rep <> pivot")
+        balls = stored(compared(met.groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("members").alias("m")), sets, per_cent), "balls")
         near = stored(beside(balls, label, per_cent), "beside")
-        links = balls.filter("linked").select("a", "b")
+        found = balls.filter("linked").select("a", "b")
         if not near.isEmpty():
-            links = links.union(compared(near, sets, per_cent).filter("linked").select("a", "b"))
-        label = merged(label, stored(links, "links"))
+            found = found.union(compared(near, sets, per_cent).filter("linked").select("a", "b"))
+        links = stored(found, "links")
+        label = merged(label, links)
         done = met.join(balls.filter("settled").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"]).select("key", "rep").union(pivots.select("key", "pivot")).distinct()
         rest = stored(live.select("key", "rep").join(done, ["key", "rep"], "left_anti"), "buckets")
-        discard(bucket, live, pivots, balls, near)
-        bucket, turn = rest, turn + 1
-    discard(bucket, live, sets)
-    rooted = classes.select("n_shingles", "_s1", "_s2", "rep")
+        discard(bucket, live, pivots, balls, near, links)
+        bucket = rest
+    discard(bucket, sets)
+    return label
+
+
+def groups(docs: DataFrame, words: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n_shingles, lead) for each row: ``h`` is a hash of the text, and ``lead`` the (id, h) that leads
+    the row's group: the one with the smallest id, ids before null, then the smallest h."""
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sig = stored(signatures(base, words), "signatures")
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"))
+    classes = sig.filter("n_shingles > 0").groupBy("n_shingles", "_s1", "_s2").agg(F.min(own).alias("lead"), F.any_value("_bands").alias("_bands"))
+    # numbers of classes are fixed by being written
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        leads = classes.join(ids, classes.cid == ids.id, "left_semi").select("lead.id", "lead.h", "cid").withColumn("k", F.xxhash64("id", "h"))
+        keyed = base.select(F.xxhash64("id", "h").alias("k"), "id", "h", "text")
+        likely = by_bitmap(keyed, "k", id_bitmap(leads, "k"), inside=True).dropDuplicates(["k", "id", "h"])  # few other texts are shuffled
+        match = (likely.k == leads.k) & likely.id.eqNullSafe(leads.id) & (likely.h == leads.h)
+        return full_sets(likely.join(leads, match).select(leads.cid.alias("id"), "text"), words)
+
+    label = linked_classes(classes, sets_of, per_cent)
+    leads = classes.select("n_shingles", "_s1", "_s2", "cid", "lead")
     if label is not None:
-        rooted = rooted.join(label, rooted.rep == label.node, "left").withColumn("rep", F.coalesce("root", "rep")).drop("node", "root")
-    own = F.coalesce("rep", "id")
-    return sig.drop("_bands").join(rooted, ["n_shingles", "_s1", "_s2"], "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), (F.col("id") == own).alias("kept"))
+        rooted = label.join(leads.select(F.col("cid").alias("node"), "lead"), "node")
+        top = rooted.groupBy("root").agg(F.min("lead").alias("top"))
+        leads = leads.join(rooted.join(top, "root").select(F.col("node").alias("cid"), "top"), "cid", "left").withColumn("lead", F.coalesce("top", "lead"))
+    out = sig.join(leads.select("n_shingles", "_s1", "_s2", "lead"), ["n_shingles", "_s1", "_s2"], "left").select("id", "h", "n_shingles", "lead")
+    out = stored(out, "groups")
+    discard(sig, classes, label)
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """n_shingles, component_id and kept for the id of each row.
+
+    A set is the distinct runs of ``words`` words (lower-cased A-Z, split at ASCII white
+    space); a text with fewer words is one run.  Texts without words, null texts included, are linked
+    with nothing.  Two sets are linked from ``per_cent`` percent of Jaccard similarity on; at 80
+    a link is missed with a probability of at most 7e-6: both ends of a permutation agree with i (i - 1) / (u (u - 1)) for
+    an intersection of i and a union of u, three of them make a band, and smaller sets have more bands.
+
+    ``component_id`` is the smallest id reachable and ``kept`` marks it.  Repeated rows (equal id and text) get
+    equal results, and rows with one id and different texts their own.  Rows with a null id take part: their
+    component_id is that of the others in their group, null if none of these has an id, and only then they are kept.
+    """
+    linked = F.col("n_shingles") > 0
+    root = F.when(linked, F.col("lead.id")).otherwise(F.col("id"))
+    return groups(docs, words, per_cent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, of each group of near duplicates one.
+
+    A row is known by its id and its text, so different texts under one id are rows of their own, and
+    rows with a null id are members of groups like others.  The one with the smallest id stays (ids before null); of rows that
+    agree in id and text, the one with the smallest values in the other columns.  Rows without words all stay.
+    """
+    found = groups(docs, words, per_cent, id_col, text_col).filter("n_shingles > 0")
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("h") == F.col("lead.h"))
+    rows = found.groupBy("id", "h").agg(F.max(leads).alias("leads"), F.count(F.lit(1)).alias("n")).filter("NOT leads OR n > 1")
+    judged = stored(rows.select(F.xxhash64("id", "h").alias("_weft_jk"), F.col("id").alias("_weft_ji"), F.col("h").alias("_weft_jh"), "leads"), "judged").withColumnRenamed("leads", "_weft_leads")
+    names = docs.columns
+    keyed = docs.withColumn("_weft_h", F.xxhash64(text_col)).withColumn("_weft_k", F.xxhash64(id_col, "_weft_h"))
+    bits = id_bitmap(judged, "_weft_jk")  # most texts surely stay, and are not shuffled
+    sure = by_bitmap(keyed, "_weft_k", bits, inside=False).select(*names)
+    maybe = by_bitmap(keyed, "_weft_k", bits, inside=True)
+    match = (F.col("_weft_k") == F.col("_weft_jk")) & F.col(id_col).eqNullSafe(F.col("_weft_ji")) & (F.col("_weft_h") == F.col("_weft_jh"))
+    met = maybe.join(judged, match, "left")
+    alone = met.filter("_weft_leads IS NULL").select(*names)
+    plain = [c for c in names if isinstance(docs.schema[c].dataType, T.AtomicType)]
+    many = met.filter("_weft_leads").groupBy("_weft_ji", "_weft_jh").agg(F.min_by(F.struct(*names), F.struct(*plain)).alias("_weft_row"))
+    return sure.unionByName(alone).unionByName(many.select("_weft_row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ compare the bytes afterwards.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -173,6 +174,25 @@ def sub_batches(batch: pa.RecordBatch, text_col: str, limit: int) -> Iterator[pa
         yield batch.slice(i, j - i)
 
 
+def _trim() -> None:
+    """Gives memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def handing_back(run: Callable):
+    """A mapInArrow function that leaves no free memory in the worker, which serves the next task too."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def appending(fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], text_col: str, limit: int = SLICE_BYTES):
     """A mapInArrow function that adds the columns ``fn`` makes to every batch."""
 
@@ -182,4 +202,4 @@ def appending(fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], text_col: str
                 new = fn(part)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], names=[*part.schema.names, *new.keys()])
 
-    return run
+    return handing_back(run)
