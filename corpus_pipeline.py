@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, mix, neardup, quality, shard
-from weftgraph.llm.common import by_bitmap, id_bitmap, stored, table
+from weftgraph.llm.common import discard, settled, table
 
 #: Prefix of the columns that operators add on the way, clear of those of ``documents``.
 OWN = "_weft_"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality 1."""
+    """Documents that the classifier predicts to be of quality 1.
+
+    Null and empty texts are scored like any text, by what they share with labelled ones; where no label can be
+    learned from, all stay.
+    """
     model = quality.model_of(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model, prefix=OWN).filter(F.col(f"{OWN}predicted") == 1).select(*docs.columns)
 
@@ -26,18 +30,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (5-word shingles, similarity 0.8).
 
-    Rows with a null id belong to no group and stay; of repeated rows one stays.
+    A document is known by its id and text: different texts under one id are different documents, and
+    those with a null id are members of groups too.  Of repeated rows one stays; documents without words all stay.
     """
-    found = stored(neardup.near_duplicates(docs), "kept")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    bits = id_bitmap(gone, "doc_id")  # most texts surely stay, and are not shuffled
-    maybe = by_bitmap(docs, "doc_id", bits, inside=True).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    kept = by_bitmap(docs, "doc_id", bits, inside=False).unionByName(maybe)
-    if repeated:
-        null_ids = kept.filter("doc_id IS NULL")
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(null_ids)
-    return kept
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +64,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the tables of the input are never ours to remove
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
