@@ -194,6 +194,7 @@ def meeting(items: DataFrame, per_cent: int) -> DataFrame:
     ``keep_any``: how many of an item's rarest elements any partner without ``late``, or any at all, must share one of.
     """
     share = (100 - per_cent) / (100 + per_cent)
+    items = stored(items, "items")
     size = items.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     d = items.join(size, "g").withColumn("d", F.size("elements"))
     e = d.select("g", "b", "comp", "nb", "d", "late", "keep", "keep_any", _salt("m", "b").alias("salt"), F.explode("elements").alias("e"))
@@ -204,14 +205,16 @@ def meeting(items: DataFrame, per_cent: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("g", "b").orderBy("often", "e"))
     # elements of one item only come first in every order, but never meet
     alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("g", "b"))
-    ranked = shared.withColumn("r", rank + alone)
+    ranked = stored(shared.withColumn("r", rank + alone).filter("r <= greatest(keep, keep_any)").drop("salt", "often"), "prefixes")
     x = ranked.filter("r <= keep").select("g", "e", F.col("b").alias("x"), F.col("comp").alias("xc"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
     y = ranked.filter("NOT late AND r <= keep_any").select("g", "e", F.col("b").alias("y"), F.col("comp").alias("yc"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
     overlap = F.ceil((F.col("dx") + F.col("dy") - share * (F.col("nx") + F.col("ny"))) / 2 - 1e-6)
     fits = (F.col("dx") - F.col("rx") + 1 >= overlap) & (F.col("dy") - F.col("ry") + 1 >= overlap)
     hit = x.join(y, ["g", "e"]).filter((F.col("xc") != F.col("yc")) & (100 * F.least("nx", "ny") >= per_cent * F.greatest("nx", "ny")) & fits)
-    pairs = hit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
+    pairs = stored(hit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    out = stored(pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a"), "beside")
+    discard(items, ranked, pairs)
+    return out
 
 
 def _with_comp(df: DataFrame, label: DataFrame | None, node: str) -> DataFrame:
@@ -240,10 +243,10 @@ def among(rest: DataFrame, sets: DataFrame, label: DataFrame | None, per_cent: i
     def run(batches):
         for batch in batches:
             raw = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.int64()))], names=["b", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int64)), batch.column(0), pa.array(raw, pa.list_(pa.int64()))], names=["g", "b", "elements"])
 
-    whole = sets.join(rest, "id", "left_semi").select("id", "set").mapInArrow(run, "b long, elements array<long>")
-    items = whole.select(F.lit(0).alias("g"), "b", F.size("elements").alias("nb"), "elements", F.lit(False).alias("late"))
+    whole = sets.join(rest, "id", "left_semi").select("id", "set").mapInArrow(tk.handing_back(run), "g long, b long, elements array<long>")
+    items = whole.select("g", "b", F.size("elements").alias("nb"), "elements", F.lit(False).alias("late"))
     # a linked partner has per_cent of the elements at least
     keep = F.col("nb") - F.ceil(F.col("nb") * per_cent / 100 - 1e-9).cast("int") + 1
     return meeting(_with_comp(items.withColumns({"keep": keep, "keep_any": keep}), label, "b"), per_cent)
@@ -284,7 +287,7 @@ def linked_classes(classes: DataFrame, sets_of, per_cent: int) -> DataFrame | No
             discard(live)
             break
         if turn == ROUNDS:
-            near = stored(among(live.select(F.col("rep").alias("id")).distinct(), sets, label, per_cent), "beside")
+            near = among(live.select(F.col("rep").alias("id")).distinct(), sets, label, per_cent)
             links = stored(compared(near, sets, per_cent).filter("linked").select("a", "b"), "links")
             label = merged(label, links)
             discard(live, near, links)
@@ -300,7 +303,7 @@ def linked_classes(classes: DataFrame, sets_of, per_cent: int) -> DataFrame | No
         parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / (16 * MEMBERS)).cast("int") - 1))
         met = live.withColumn("salt", _salt("members", "rep", 16 * MEMBERS)).join(pivots.select("key", "pivot", parts.alias("salt")), ["key", "salt"]).filter("rep <> pivot")
         balls = stored(compared(met.groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("members").alias("m")), sets, per_cent), "balls")
-        near = stored(beside(balls, label, per_cent), "beside")
+        near = beside(balls, label, per_cent)
         found = balls.filter("linked").select("a", "b")
         if not near.isEmpty():
             found = found.union(compared(near, sets, per_cent).filter("linked").select("a", "b"))
