@@ -1,7 +1,7 @@
 """Mixing sources to target weights by temperature.
 
 A source with token share p gets the weight p**a, normalised.  The exponent a in
-[0, 1] is found by bisection: 1 keeps the corpus as it is, 0 makes all sources
+[0, 1] is found by bisection (of 32 parts a step): 1 keeps the corpus as it is, 0 makes all sources
 equal; the entropy of the weights and the repetition of small sources both fall as a
 rises.  With a target entropy the largest a that still has it is taken; with
 a repetition limit the smallest a that keeps every source within it; with both, the larger.
@@ -9,8 +9,8 @@ a repetition limit the smallest a that keeps every source within it; with both,
 Weights become token budgets, and budgets whole passes over a source and a part of one.  A
 pass is a permutation of blocks: blocks are hash ranges of the source, in an order
 drawn anew for each pass, with the rows of a block in a hashed order too.  The part pass
-ends where its budget does, found block by block, then within the last block, so no
-source is ever sorted as a whole.
+ends where its budget does, found block by block, then by ever smaller ranges within the last block, so
+neither a source nor a block is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -24,41 +24,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import stored, table, with_fields
+from .common import discard, stored, table, with_fields
 
 BLOCKS = 1024
-#: Shares of sources are bisected on the driver; more sources than this raise an error.
-MAX_SOURCES = 100_000
+#: Rows of a part pass's last cell that are ordered in one task.
+FEW = 4096
+#: Up to so many different token counts of sources are summed on the driver, more by the executors.
+DRIVER_COUNTS = 100_000
 
 
-def weights(tokens: list[int], a: float) -> list[float]:
-    """Normalised temperature weights; sources without tokens weigh nothing."""
-    total = sum(tokens)
-    raw = [(t / total) ** a if t else 0.0 for t in tokens]
-    s = sum(raw)
-    return [x / s for x in raw] if s else raw
+def sums_of(tokens: dict[int, int]):
+    """For exponents, the sums of p**a and of p**a log p**a over sources given as {tokens: sources}."""
+    t, many = np.array(list(tokens), float), np.array(list(tokens.values()), float)
+    logs = np.log(t / (t * many).sum())
 
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        return [(float((many * np.exp(a * logs)).sum()), float((many * a * logs * np.exp(a * logs)).sum())) for a in exponents]
 
-def entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
+    return sums
 
 
-def exponent(tokens: list[int], budget: int, target_entropy: float | None, max_repeats: float | None, steps: int = 60) -> float:
-    """The exponent that meets the targets, as far as exponents in [0, 1] can."""
+def sums_by(counts: DataFrame, total: int):
+    """As ``sums_of``, for a table of any size with a row (t, n) for n sources of t tokens."""
 
-    def largest(ok) -> float:
-        if ok(1.0):
-            return 1.0
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        log = F.log(F.col("t") / F.lit(float(total)))
+        cols = [f for a in exponents for f in (F.sum(F.col("n") * F.exp(log * a)), F.sum(F.col("n") * log * a * F.exp(log * a)))]
+        got = counts.agg(*cols).first()
+        return [(got[2 * i], got[2 * i + 1]) for i in range(len(exponents))]
+
+    return sums
+
+
+def exponent(sums, least_share: float, budget_share: float, target_entropy: float | None, max_repeats: float | None) -> float:
+    """The exponent that meets the targets, as far as exponents in [0, 1] can.
+
+    ``sums`` as above; ``least_share``: of the smallest source; ``budget_share``: budget by tokens.
+    The entropy of the weights is log Z - E / Z, and the most repeated source is the smallest.
+    """
+
+    def largest(ok, sections: int = 32, steps: int = 11) -> float:
+        """The largest exponent for which ``ok``, which holds up to some exponent."""
         lo, hi = 0.0, 1.0
+        if ok(1.0, *sums([1.0])[0]):
+            return 1.0
         for _ in range(steps):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if ok(mid) else (lo, mid)
+            grid = [lo + (hi - lo) * i / sections for i in range(1, sections)]
+            good = [x for x, z in zip(grid, sums(grid), strict=True) if ok(x, *z)]
+            lo, hi = (good[-1] if good else lo), (grid[len(good)] if len(good) < len(grid) else hi)
         return lo
 
-    a = 1.0 if target_entropy is None else largest(lambda x: entropy(weights(tokens, x)) >= target_entropy)
+    a = 1.0 if target_entropy is None else largest(lambda _, z, e: math.log(z) - e / z >= target_entropy)
     if max_repeats is not None:
-        over = lambda x: max((w * budget / t for w, t in zip(weights(tokens, x), tokens, strict=True) if t), default=0.0) > max_repeats
-        floor = 0.0 if not over(0.0) else 1.0 if over(1.0) else largest(over)
+        over = lambda x, z, _: budget_share * least_share ** (x - 1) / z > max_repeats * (1 + 1e-12)
+        floor = 0.0 if not over(0.0, *sums([0.0])[0]) else largest(over)
         a = max(a, floor) if target_entropy is not None else floor
     return a
 
@@ -74,76 +93,100 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(tk.appending(add, text_col), with_fields(docs, ("_tokens", T.LongType())))
 
 
-def _order(id_col: str, seed: int, epoch: Column) -> tuple[Column, Column, Column]:
+def _order(key: Column, seed: int, epoch: Column) -> tuple[Column, Column, Column]:
     """Block, its place in the pass (with the block as tie-break), and the row's place in it."""
-    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BLOCKS))
+    block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOCKS))
     place = F.shiftleft(F.shiftrightunsigned(F.xxhash64(block, epoch, F.lit(seed)), 12), 10) + block
-    return block, place, F.xxhash64(F.col(id_col), epoch, F.lit(seed), F.lit(11))
-
-
-def plan(sized: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int, id_col: str, source_col: str) -> DataFrame | None:
-    """One row for each source with its weight, whole passes, and where the part pass ends.
-
-    ``sized`` has the id, the source and ``_tokens``.  Returns None if there are no tokens.
+    return block, place, F.shiftrightunsigned(F.xxhash64(key, epoch, F.lit(seed), F.lit(11)), 1)
+
+
+def budgets(sized: DataFrame, target_entropy: float | None, entropy_share: float | None, max_repeats: float | None, budget: int | None) -> DataFrame:
+    """(src, mix_weight, passes, rest) of each source with tokens in ``sized`` (src, tokens, ...)."""
+    sources = stored(sized.groupBy("src").agg(F.sum("tokens").alias("t")).filter("t > 0"), "mix-sources")
+    total, least, n = sources.agg(F.sum("t"), F.min("t"), F.count(F.lit(1))).first()
+    if not n:
+        return sources.select("src", F.lit(0.0).alias("mix_weight"), F.col("t").alias("passes"), F.col("t").alias("rest"))
+    budget = total if budget is None else budget
+    if entropy_share is not None:
+        target_entropy = entropy_share * math.log(n)
+    counts = sources.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(DRIVER_COUNTS + 1).collect() if n <= DRIVER_COUNTS else None
+    sums = sums_of({r[0]: r[1] for r in sorted(few)}) if few else sums_by(stored(counts, "mix-counts"), total)
+    a = exponent(sums, least / total, budget / total, target_entropy, max_repeats)
+    weight = F.exp(F.log(F.col("t") / F.lit(float(total))) * a) / sums([a])[0][0]
+    tokens = F.floor(F.col("mix_weight") * budget + 1e-9)  # a whole number may come out a little less
+    out = sources.withColumn("mix_weight", weight).withColumn("b", tokens)
+    return stored(out.select("src", "mix_weight", F.expr("b div t").alias("passes"), F.expr("b % t").alias("rest")), "mix-budgets")
+
+
+def part_ends(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+    """(src, last_place, last_nth, last_key): where the part pass of each source ends.
+
+    First the block in which it ends is found, then a range of the rows' places in it, a tenth of
+    their bits at a time, until the range of every source is small enough to be ordered.
     """
-    spark = sized.sparkSession
-    rows = sized.groupBy(source_col).agg(F.sum("_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
-    tokens = [r[1] for r in rows]
-    if not sum(tokens):
-        return None
-    budget = sum(tokens) if budget is None else budget
-    a = exponent(tokens, budget, target_entropy, max_repeats)
-    w = weights(tokens, a)
-    base = []
-    for r, t, x in zip(rows, tokens, w, strict=True):
-        b = int(x * budget)
-        base.append((r[0], float(x), b, b // t if t else 0, b % t if t else 0))
-    schema = T.StructType([T.StructField("_src", sized.schema[source_col].dataType), T.StructField("mix_weight", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("_budget", "_passes", "_rest"))])
-    base_df = F.broadcast(spark.createDataFrame(base, schema))
-    _, place, nth = _order(id_col, seed, F.col("_passes"))
-    part = sized.join(base_df, F.col(source_col).eqNullSafe(F.col("_src"))).filter("_rest > 0").select("_src", "_rest", F.col(id_col).alias("_id"), "_tokens", place.alias("_place"), nth.alias("_nth"))
-    # where the part pass ends: the block, then the row in it
-    blocks = part.groupBy("_src", "_rest", "_place").agg(F.sum("_tokens").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy("_src").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = blocks.withColumn("_before", before).filter("_before <= _rest AND _before + _t > _rest").select(F.col("_src").alias("_s"), F.col("_place").alias("_last_block"), "_before")
-    inside = part.join(F.broadcast(last), F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_place") == F.col("_last_block")))
-    upto = F.sum("_tokens").over(Window.partitionBy("_src").orderBy("_nth", "_id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
-    ends = inside.withColumn("_upto", upto).filter("_upto <= _rest").groupBy("_src").agg(F.max(F.struct("_nth", F.col("_id").alias("_id"))).alias("_end"))
-    cut = last.join(ends, F.col("_s").eqNullSafe(F.col("_src")), "left").select("_s", "_last_block", F.col("_end._nth").alias("_last_nth"), F.col("_end._id").alias("_last_id"))
-    found = cut.collect()  # one row for each source at most
-    schema2 = T.StructType([*schema.fields, T.StructField("_last_block", T.LongType()), T.StructField("_last_nth", T.LongType()), T.StructField("_last_id", sized.schema[id_col].dataType)])
-    ends_by = {r[0]: (r[1], r[2], r[3]) for r in found}
-    return spark.createDataFrame([(*r, *ends_by.get(r[0], (None, None, None))) for r in base], schema2)
-
-
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
+    _, place, nth = _order(F.col("key"), seed, F.col("passes"))
+    own = planned.filter("rest > 0").withColumnRenamed("src", "_src")
+    part = sized.join(own, F.col("src").eqNullSafe(F.col("_src"))).select("src", "rest", "key", "tokens", place.alias("place"), nth.alias("nth"))
+
+    def ending(cells: DataFrame) -> DataFrame:
+        """The cell (src, rest, start, cell, t) of each source in which its budget ends."""
+        before = F.coalesce(F.sum("t").over(Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("start")
+        return cells.withColumn("before", before).filter("before <= rest AND before + t > rest")
+
+    blocks = part.groupBy("src", "rest", F.col("place").alias("cell")).agg(F.sum("tokens").alias("t")).withColumn("start", F.lit(0).cast("long"))
+    cut = stored(ending(blocks).select(F.col("src").alias("_s"), F.col("cell").alias("last_place"), F.lit(0).cast("long").alias("low"), F.col("before").alias("start")), "mix-cut")
+    in_block = F.col("src").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("last_place"))
+    for shift in (53, 43, 33, 23, 13, 3):
+        inside = part.join(cut, in_block & (F.shiftrightunsigned("nth", shift + 10) == F.col("low")))
+        if not (inside.groupBy("src").count().agg(F.max("count")).first()[0] or 0) > FEW:
+            break
+        cells = inside.groupBy("src", "rest", "last_place", "start", F.shiftrightunsigned("nth", shift).alias("cell")).agg(F.sum("tokens").alias("t"))
+        finer = stored(ending(cells).select(F.col("src").alias("_s"), "last_place", F.col("cell").alias("low"), F.col("before").alias("start")), "mix-cut")
+        discard(cut)
+        cut = finer
+    else:
+        shift = -7
+    inside = part.join(cut, in_block & (F.shiftrightunsigned("nth", shift + 10) <= F.col("low")))
+    # rows before the last cell come in any case; those of the cell in order, as long as they fit
+    rows = inside.filter(F.shiftrightunsigned("nth", shift + 10) == F.col("low")).groupBy("src", "rest", "start", "nth", "key").agg(F.sum("tokens").alias("t"))
+    upto = F.sum("t").over(Window.partitionBy("src").orderBy("nth", "key").rowsBetween(Window.unboundedPreceding, 0)) + F.col("start")
+    ends = rows.withColumn("upto", upto).filter("upto <= rest").groupBy("src").agg(F.max(F.struct("nth", "key")).alias("end"))
+    first = F.shiftleft(F.col("low"), shift + 10)  # nothing of the cell fits: the end is just before it
+    out = cut.join(ends, F.col("_s").eqNullSafe(F.col("src")), "left").select(F.col("_s").alias("src"), "last_place", F.coalesce("end.nth", first).alias("last_nth"), F.coalesce("end.key", F.lit(-(1 << 63))).alias("last_key"))
+    out = stored(out, "mix-ends")
+    discard(cut)
+    return out
+
+
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_", entropy_share: float | None = None) -> DataFrame:
     """``docs`` repeated or cut to the budgets, with weight, pass, block, place and nth, named with ``prefix``.
 
     The order of the mixture within a source is (pass, place, nth).  ``budget`` counts
-    tokens (default: those of ``docs``).  Null is a source of its own; rows without tokens
-    come with every whole pass and with the part pass up to its end; repeated rows share
-    their place and come together or not at all; without tokens, the
-    result is empty.
+    tokens (default: those of ``docs``); ``entropy_share`` gives the target as a share of the entropy of equal sources.
+    Null is a source of its own, and sources without tokens have no share and no rows; rows without tokens
+    come with every whole pass and with the part pass up to its end; a row is known by id and text, and
+    repeated rows share their place and come together or not at all; without tokens, the result is empty.
     """
     w, e, b, p, r = names = [prefix + c for c in ("weight", "pass", "block", "place", "nth")]
     docs = docs.drop(*names)
-    sized = stored(count_tokens(docs.select(id_col, source_col, text_col), text_col).drop(text_col), "mix-tokens")
-    planned = plan(sized, target_entropy, max_repeats, budget, seed, id_col, source_col)
-    block, place, nth = _order(id_col, seed, F.col(e))
-    if planned is None:
-        planned = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("_src", docs.schema[source_col].dataType), T.StructField("mix_weight", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("_budget", "_passes", "_rest", "_last_block", "_last_nth")), T.StructField("_last_id", docs.schema[id_col].dataType)]))
-    own = F.broadcast(planned.select(*(F.col(c).alias(f"_mix_{c}") for c in planned.columns)))
-    q = {c: F.col(f"_mix_{c}") for c in planned.columns}
-    passes = F.explode(F.sequence(F.lit(0).cast("long"), q["_passes"]))
-    spread = docs.join(own, F.col(source_col).eqNullSafe(q["_src"])).withColumn(e, passes)
+    key = F.xxhash64(id_col, text_col)
+    sized = stored(count_tokens(docs.select(key.alias("key"), F.col(source_col).alias("src"), F.col(text_col).alias("text")), "text").select("key", "src", F.col("_tokens").alias("tokens")), "mix-tokens")
+    planned = budgets(sized, target_entropy, entropy_share, max_repeats, budget)
+    ends = part_ends(sized, planned, seed).withColumnRenamed("src", "_s")
+    # a small table for each source; Spark broadcasts it if its size allows
+    own = stored(planned.join(ends, F.col("src").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
+    discard(sized, planned, ends)
+    own = own.select(*(F.col(c).alias(f"_mix_{c}") for c in own.columns))
+    q = {c.removeprefix("_mix_"): F.col(c) for c in own.columns}
+    block, place, nth = _order(F.col("_mix_key"), seed, F.col(e))
+    passes = F.explode(F.sequence(F.lit(0).cast("long"), q["passes"]))
+    spread = docs.withColumn("_mix_key", key).join(own, F.col(source_col).eqNullSafe(q["src"])).withColumn(e, passes)
     spread = spread.withColumns({w: q["mix_weight"], b: block, p: place, r: nth})
-    last_row = F.struct(F.col(r), F.col(id_col)) <= F.struct(q["_last_nth"], q["_last_id"])
-    in_part = (F.col(p) < q["_last_block"]) | ((F.col(p) == q["_last_block"]) & last_row)
-    keep = (F.col(e) < q["_passes"]) | ((q["_rest"] > 0) & F.coalesce(in_part, F.lit(False)))
-    return spread.filter(keep).drop(*(f"_mix_{c}" for c in planned.columns))
+    up_to = F.struct(F.col(r), F.col("_mix_key")) <= F.struct(q["last_nth"], q["last_key"])
+    in_part = (F.col(p) < q["last_place"]) | ((F.col(p) == q["last_place"]) & up_to)
+    keep = (F.col(e) < q["passes"]) | ((q["rest"] > 0) & F.coalesce(in_part, F.lit(False)))
+    return spread.filter(keep).drop("_mix_key", *own.columns)
 
 
 #: Share of the greatest possible entropy, and greatest number of passes over a source.
@@ -152,8 +195,7 @@ ENTROPY_SHARE, MAX_REPEATS = 0.97, 4.0
 
 def mix_documents(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
     """Production parameters: 0.97 of the entropy of equal sources, at most 4 passes."""
-    n = docs.select("source").distinct().count()
-    return mix(docs, target_entropy=ENTROPY_SHARE * math.log(max(n, 1)), max_repeats=MAX_REPEATS, prefix=prefix)
+    return mix(docs, entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS, prefix=prefix)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
