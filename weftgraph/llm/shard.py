@@ -7,9 +7,9 @@ The medians of all the nodes of a level are found together by distributed
 histograms that narrow around each cut; the driver sees a bounded number of
 histogram cells and never rows.
 
-Where a dimension ties, documents are ordered by a hash of the text and then of the
-id: copies of a text stay together unless a cut must fall among them, and a hot
-value or a hot group of copies is split like any other run.
+Where a dimension ties, documents are ordered by a hash of the text, then of the
+id, then by a number of the row: copies of a text stay together unless a cut must fall among them, and a hot
+value, a hot group of copies or of rows with one id is split like any other run.
 """
 
 from __future__ import annotations
@@ -44,10 +44,20 @@ def _pick(nodes: list[Node], value) -> Column:
     return F.element_at(F.array(*(F.lit(int(value(x))).cast("long") for x in nodes)), F.col("_n") + 1)
 
 
+#: Bits of the parts of a key, 63 together: dimension, hash of the text, hash of the id, number of the row.
+DIM_BITS, TEXT_BITS, ID_BITS, ROW_BITS = 16, 25, 11, 11
+
+
 def _key(nodes: list[Node], dims: int) -> Column:
-    """63 bits: 16 of the dimension of the row's node, 31 of the text's hash, 16 of the row's."""
+    """The place of a row along the dimension of its node."""
     x = F.element_at(F.array(*(F.col(f"_x{i}") for i in range(dims))), _pick(nodes, lambda n: n.dim).cast("int") + 1)
-    return F.shiftleft(x, 47) + F.shiftleft(F.col("_t"), 16) + F.col("_r")
+    return F.shiftleft(x, 63 - DIM_BITS) + F.shiftleft(F.col("_t"), ID_BITS + ROW_BITS) + F.shiftleft(F.col("_r"), ROW_BITS) + F.col("_o")
+
+
+def _row_number() -> Column:
+    """A number of ROW_BITS for the row: consecutive rows of a task have consecutive ones, and those of tasks are apart."""
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return F.pmod(nth + F.spark_partition_id() * F.lit(257), F.lit(1 << ROW_BITS))
 
 
 def _descend(df: DataFrame, nodes: list[Node], dims: int) -> DataFrame:
@@ -92,12 +102,12 @@ def kd_shards(docs: DataFrame, shards: int, dims: list[Column], size: Column, id
     ``dims`` are numeric metadata of any range (null counts as the smallest value); they
     are scaled to 16 bits over their range in ``docs``.  Sizes of shards differ by little
     more than a document, or ``tolerance`` of a shard.  Null texts weigh as empty; repeated
-    rows are placed each by itself; with no rows there are no shards; a row larger than
+    rows and rows without an id are placed each by itself, by numbers that are fixed when the metadata are written; with no rows there are no shards; a row larger than
     a shard leaves others emptier.  Slots are gapless from 0 in each shard.
     """
     n = len(dims)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    meta = docs.select(F.col(id_col), size.cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("_t"), F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 16)).alias("_r"), *(d.cast("double").alias(f"_d{i}") for i, d in enumerate(dims)))
+    meta = docs.select(F.col(id_col), size.cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS).alias("_t"), F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << ID_BITS)).alias("_r"), _row_number().alias("_o"), *(d.cast("double").alias(f"_d{i}") for i, d in enumerate(dims)))
     meta = stored(meta, "shard-meta")
     ends = meta.agg(F.count(F.lit(1)), *(f(f"_d{i}") for i in range(n) for f in (F.min, F.max))).first()
     scaled = {}
@@ -126,10 +136,10 @@ def kd_shards(docs: DataFrame, shards: int, dims: list[Column], size: Column, id
         placed = _descend(placed, nodes, n)
     placed = placed.withColumn("shard", _pick(nodes, lambda x: x.first).cast("int"))
     subs = max(1, -(-ends[0] // (SLOT_ROWS * shards)))
-    placed = placed.withColumn("_s", F.pmod(F.xxhash64("_t", "_r", F.lit(3)), F.lit(subs)).cast("int"))
+    placed = placed.withColumn("_s", F.pmod(F.xxhash64("_t", "_r", "_o", F.lit(3)), F.lit(subs)).cast("int"))
     counts = placed.groupBy("shard", "_s").agg(F.count(F.lit(1)).alias("_c"))
     ahead = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("shard").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_s", F.coalesce("_before", F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("shard", "_s").orderBy("_t", "_r", id_col)) - 1
+    nth = F.row_number().over(Window.partitionBy("shard", "_s").orderBy("_t", "_r", "_o", id_col)) - 1
     return placed.withColumn("_nth", nth).join(ahead, ["shard", "_s"]).select(id_col, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_nth") + F.col("_before")).cast("long").alias("slot"))
 
 
