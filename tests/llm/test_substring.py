@@ -80,3 +80,25 @@ def test_automaton_owners():
             own = [o for s, o in seqs if any(s[j : j + 5] == probe[i - 4 : i + 1] for j in range(len(s) - 4))]
             want.append(min(own, default=None))
         assert sam.least_owners(probe, 5) == want
+
+
+def test_hot_keys_go_by_windows(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 2)  # every shared key
+    rows = list(enumerate(texts(5)))
+    assert run(S.substring_dedup(docs(*rows))) == brute(rows, 13)
+
+
+def test_shards_of_whole_keys(monkeypatch):
+    """However the keys are cut into automata, the owners are the same."""
+    import numpy as np
+
+    r = random.Random(9)
+    key = np.sort(np.array([r.randrange(12) for _ in range(60)], np.uint64))
+    body = [[r.randrange(3) for _ in range(r.randint(5, 30))] for _ in key]
+    size = np.array([len(x) for x in body])
+    args = (key, np.arange(60, dtype=np.uint64), np.zeros(60, np.uint64), np.array([r.randrange(20) for _ in key]), size, np.array([int(k) * 10 + w for k, x in zip(key, body) for w in x], np.uint64), 5)
+    want = S.judge_shard(*args)
+    for words_ in (1, 40, 200):
+        monkeypatch.setattr(S, "SHARD_WORDS", words_)
+        least, flags = S.judge_shard(*args)
+        assert (least == want[0]).all() and [None if f is None else f.tolist() for f in flags] == [None if f is None else f.tolist() for f in want[1]]

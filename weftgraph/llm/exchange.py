@@ -1,6 +1,7 @@
 """Exchange of packed keys between chunks of documents and buckets of keys.
 
-Documents are dealt into chunks of a bounded size by a hash of the id.  A chunk sends its
+Documents are dealt into chunks of a bounded size by a hash of id and text, so rows that share
+an id, or have none, don't gather; only repeated rows share a chunk.  A chunk sends its
 distinct keys, packed, to buckets of keys; a bucket answers each chunk with one
 value for each key in the order it came.  A key that is frequent in the corpus comes at most once from each
 chunk, so hot keys don't gather rows.  The chunk exchange of the documents is
@@ -24,8 +25,9 @@ from .common import partitions, text_size
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
     """(chunk, id, text), with ``extra`` columns, and the number of chunks."""
     n = max(partitions(docs.sparkSession), -(-text_size(docs, text_col) // chunk_bytes))
-    key = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(n)).cast("int")
-    return docs.select(key.alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in (extra or {}).items())), n
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(23)), F.lit(n)).cast("int")
+    own = docs.select(key.alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in (extra or {}).items()))
+    return own.repartition(n, "chunk"), n  # as many tasks as chunks, whatever the setting, so none grows with the input
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> np.ndarray:

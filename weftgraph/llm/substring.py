@@ -4,14 +4,18 @@ A window is ``window`` consecutive words.  Its key is the smallest hash of the s
 runs of words in it (a winnowing minimizer), so equal windows have equal keys
 wherever they are, and consecutive windows mostly share theirs.  Keys that occur in
 one document only are put aside; the passages around the others, one for each distinct
-passage with the smallest id that has it, are the reference.  The reference is cut
-into shards by key.  Each shard's suffix automaton is built in the task that holds the shard, and the
-passages of all documents stream through it: the matching statistics tell for each
+passage with the smallest id that has it, are the reference.  A key that is hot, with very many
+passages, is replaced by the hashes of its windows, so its windows go to as many
+places as there are different ones.
+
+The reference is cut into shards of at most ``SHARD_WORDS`` words by key.  Each shard's suffix automaton is built
+in the task that holds the shard, and the passages of all documents with its keys stream through
+it, each distinct one once: the matching statistics tell for each
 position with a match of ``window`` words or more the smallest id that has the match.
 Words under such a match to a smaller id go.
 
-The automata are not broadcast to all executors: together they grow with the corpus, and a
-passage can match in the shard of its key alone.
+The automata are not broadcast to all executors: together they grow with the corpus, each document would
+meet each of them, and a passage can match in the shard of its key alone.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from .exchange import blob, bucket_slices, chunk_words, chunked, column, ids_of,
 RUN = 4
 #: Text bytes of a chunk; a task holds about fifteen times as much.
 CHUNK_BYTES = 5 << 20
+#: Words of the passages in one automaton, unless those of one key are more.
+SHARD_WORDS = 1 << 15
+#: A key is hot from about so many passages on; a chunk tells if it has ``MANY`` of them.
+HOT, MANY = 1024, 64
 
 
 class SuffixAutomaton:
@@ -134,27 +142,37 @@ def _passages(t: pa.Table, window: int):
     return h, woff, key[first], at[first], count, row[first]
 
 
-def _distinct_keys(key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys, and which come with more than one id."""
+def _distinct_keys(key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct keys, which come with more than one id, and which with ``MANY`` passages."""
     order = np.argsort(key, kind="stable")
     k, i = key[order], ids[row[order]]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
     if not len(first):
-        return k, np.zeros(0, bool)
-    return k[first], np.minimum.reduceat(i, first) != np.maximum.reduceat(i, first)
+        return k, np.zeros(0, bool), np.zeros(0, bool)
+    return k[first], np.minimum.reduceat(i, first) != np.maximum.reduceat(i, first), np.diff(np.append(first, len(k))) >= MANY
 
 
 def _shared(t: pa.Table, answers: pa.Table, window: int, buckets: int):
-    """Passages of the chunk whose key occurs in two documents of the corpus."""
+    """Passages of the chunk whose key occurs in two documents of the corpus; those of hot keys by windows."""
     h, woff, key, at, count, row = _passages(t, window)
     ids, _ = ids_of(t)
-    keys, _ = _distinct_keys(key, row, ids)
+    keys, _, _ = _distinct_keys(key, row, ids)
     off = bucket_slices(keys, buckets)
-    flag = np.zeros(len(keys), bool)
-    for b, bits in zip(answers.column("bucket").to_pylist(), column(answers, "a", np.uint8), strict=True):
-        flag[off[b] : off[b + 1]] = np.unpackbits(bits)[: off[b + 1] - off[b]]
-    ok = flag[np.searchsorted(keys, key)] if len(key) else np.zeros(0, bool)
-    return h, woff, key[ok], at[ok], count[ok], row[ok]
+    flag, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for b, bits, more in zip(answers.column("bucket").to_pylist(), column(answers, "a", np.uint8), column(answers, "b", np.uint8), strict=True):
+        n = off[b + 1] - off[b]
+        flag[off[b] : off[b + 1]] = np.unpackbits(bits)[:n]
+        hot[off[b] : off[b + 1]] = np.unpackbits(more)[:n]
+    if not len(key):
+        return h, woff, key, at, count, row
+    place = np.searchsorted(keys, key)
+    ok, split = flag[place] & ~hot[place], np.flatnonzero(flag[place] & hot[place])
+    if not len(split):
+        return h, woff, key[ok], at[ok], count[ok], row[ok]
+    idx, nth = tk.expand(count[split])
+    start = at[split][idx] + nth
+    own = tk.mix(tk.ngram_hashes(h, window)[start])
+    return h, woff, np.append(key[ok], own), np.append(at[ok], start), np.append(count[ok], np.ones(len(own), np.int64)), np.append(row[ok], row[split][idx])
 
 
 def _distinct_passages(h, key, at, count, row, ids, window: int):
@@ -194,17 +212,29 @@ def judge_shard(key, d1, d2, owner, size, words, window: int) -> tuple[np.ndarra
     pick = order[new]  # distinct passages, with their least owner
     least = owner[pick]
     flags: list = [None] * len(pick)
-    group = np.flatnonzero(np.append(True, key[pick][1:] != key[pick][:-1])) if len(pick) else np.zeros(0, np.int64)
-    for a, b in zip(group.tolist(), np.append(group[1:], len(pick)).tolist(), strict=True):
-        if b - a == 1:  # one passage: no window of it has another owner
-            continue
+    # runs of whole keys, of SHARD_WORDS words if there is more than one
+    start = np.flatnonzero(np.append(True, key[pick][1:] != key[pick][:-1])) if len(pick) else np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[pick])])
+    edges, a = [0], 0
+    while a < len(pick):
+        b = int(np.searchsorted(total, total[a] + SHARD_WORDS, "right")) - 1
+        last = int(np.searchsorted(start, b, "right")) - 1
+        if start[last] > a and b < len(pick):
+            b = int(start[last])
+        elif b < len(pick):
+            nxt = int(np.searchsorted(start, a, "right"))
+            b = int(start[nxt]) if nxt < len(start) else len(pick)
+        edges.append(b)
+        a = b
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         texts = [words[off[p] : off[p + 1]].tolist() for p in pick[a:b].tolist()]
         sam = SuffixAutomaton()
         for text, o in zip(texts, least[a:b].tolist(), strict=True):
             sam.add(text, o)
         sam.finish()
-        for i, text, o in zip(range(a, b), texts, least[a:b].tolist(), strict=True):
-            smaller = [x < o for x in sam.least_owners(text, window)]
+        for i, text in zip(range(a, b), texts, strict=True):
+            found = sam.least_owners(text, window)
+            smaller = [x < least[i] for x in found]
             flags[i] = np.array(smaller, bool) if any(smaller) else None
     return least[which], [flags[w] for w in which.tolist()]
 
@@ -223,21 +253,23 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     def send_keys(t: pa.Table) -> pa.Table:
         t = in_order(t)
         _, _, key, _, _, row = _passages(t, window)
-        keys, many = _distinct_keys(key, row, ids_of(t)[0])
+        keys, many, lots = _distinct_keys(key, row, ids_of(t)[0])
         off = bucket_slices(keys, buckets)
         full = np.flatnonzero(np.diff(off)).tolist()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(full), pa.int32()), "keys": tk.binary_array([blob(keys[off[b] : off[b + 1]]) for b in full]), "many": tk.binary_array([blob(np.packbits(many[off[b] : off[b + 1]])) for b in full])})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(full), pa.int32()), "keys": tk.binary_array([blob(keys[off[b] : off[b + 1]]) for b in full]), "many": tk.binary_array([blob(np.packbits(many[off[b] : off[b + 1]])) for b in full]), "lots": tk.binary_array([blob(np.packbits(lots[off[b] : off[b + 1]])) for b in full])})
 
     def find_shared(t: pa.Table) -> pa.Table:
         keys = column(t, "keys", np.uint64)
-        many = [np.unpackbits(m)[: len(k)] for k, m in zip(keys, column(t, "many", np.uint8), strict=True)]
+        bits = lambda c: np.concatenate([np.unpackbits(m)[: len(k)] for k, m in zip(keys, column(t, c, np.uint8), strict=True)])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        shared = np.bincount(inverse, weights=1.0 + np.concatenate(many)) >= 2
-        parts = np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([0] * len(parts), pa.int32()), "a": tk.binary_array([blob(np.packbits(p)) for p in parts]), "b": tk.binary_array([b""] * len(parts))})
+        shared = np.bincount(inverse, weights=1.0 + bits("many")) >= 2
+        hot = np.bincount(inverse, weights=np.where(bits("lots"), MANY, 1)) >= HOT
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        packed = lambda x: tk.binary_array([blob(np.packbits(p)) for p in np.split(x[inverse], cut)])
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([0] * t.num_rows, pa.int32()), "a": packed(shared), "b": packed(hot)})
 
     answer = "chunk int, bucket int, kind int, a binary, b binary"
-    shared = by_chunk(base).applyInArrow(send_keys, "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(find_shared, answer)
+    shared = by_chunk(base).applyInArrow(send_keys, "bucket int, chunk int, keys binary, many binary, lots binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find_shared, answer)
 
     def send_passages(t: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("key", "d1", "d2", "owner", "size", "words"))])
@@ -266,7 +298,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": pa.array([1] * t.num_rows, pa.int32()), "a": tk.binary_array([blob(least[a:b]) for a, b in zip(n[:-1], n[1:], strict=True)]), "b": tk.binary_array([blob(x) for x in bits])})
 
     passages = by_chunk(base).cogroup(by_chunk(shared)).applyInArrow(send_passages, "bucket int, chunk int, key binary, d1 binary, d2 binary, owner binary, size binary, words binary")
-    judged = passages.groupBy("bucket").applyInArrow(judge, answer)
+    judged = passages.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, answer)
 
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if keep_text else [])])
