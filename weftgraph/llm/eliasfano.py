@@ -7,6 +7,7 @@ vectorised over queries.
 from __future__ import annotations
 
 import json
+import mmap
 
 import numpy as np
 
@@ -122,31 +123,32 @@ class EliasFano:
         return {"n": self.n, "low_bits": self.low_bits}, [self.low, self.high]
 
 
-#: Counts are quantised to powers of 2 ** (1 / STEPS); codes of two bytes hold any count.
-STEPS = 12
+#: Probabilities are quantised to powers of 2 ** (-1 / STEPS), to the nearest: at most 2 ** (0.5 / STEPS) apart.
+STEPS = 1024
 
 
-def quantise(count: np.ndarray) -> np.ndarray:
-    """0 for 0, else 1 + the nearest step of the logarithm."""
-    c = np.asarray(count, np.float64)
-    code = 1 + np.rint(STEPS * np.log2(np.maximum(c, 1)))
-    return np.where(c > 0, code, 0).astype(np.uint16)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """0 for 0, else 1 + the steps of the logarithm below 1; two bytes hold any share of a count."""
+    p = np.asarray(p, np.float64)
+    code = 1 - np.rint(STEPS * np.log2(np.where(p > 0, p, 1)))
+    return np.where(p > 0, np.minimum(code, 65535), 0).astype(np.uint16)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, np.exp2((code.astype(np.float64) - 1) / STEPS), 0.0)
+    return np.where(code > 0, np.exp2((1 - code.astype(np.float64)) / STEPS), 0.0)
 
 
 class BigramTrie:
-    """Contexts, their pointers, and the successors of each context with a quantised weight.
+    """Contexts with their counts, their pointers, and the successors of each context with a quantised
+    probability: their share of the context's count in this trie.
 
     The successors of a context are stored with the last value of the context before
     added, which makes the whole level monotone; a query adds the same value and looks
     for the successor within the context's range.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, totals: np.ndarray, codes: np.ndarray):
+        self.contexts, self.pointers, self.successors, self.totals, self.codes = contexts, pointers, successors, totals, codes
 
     @classmethod
     def build(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray) -> BigramTrie:
@@ -158,16 +160,19 @@ class BigramTrie:
         if len(first):
             base[1:] = np.cumsum(successor[ends - 1])[:-1]
         values = successor + np.repeat(base, ends - first) if len(first) else successor
-        return cls(EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(context)).astype(np.uint64)), EliasFano.encode(values), quantise(count))
-
-    def lookup(self, context: np.ndarray, runs: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of the successors, the first ``runs[0]`` of which belong to ``context[0]`` and so on;
-        0 where a bigram isn't in the trie."""
-        out = np.zeros(len(successor), np.uint16)
+        totals = np.add.reduceat(count, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+        share = count / np.repeat(totals, ends - first) if len(first) else np.zeros(0)
+        return cls(EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(context)).astype(np.uint64)), EliasFano.encode(values), totals, quantise(share))
+
+    def lookup(self, context: np.ndarray, runs: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the contexts, and codes of the successors, the first ``runs[0]`` of which belong to
+        ``context[0]`` and so on; 0 where a context or a bigram isn't in the trie."""
+        total, out = np.zeros(len(context), np.int64), np.zeros(len(successor), np.uint16)
         i = self.contexts.index_of(context)
         if not len(i) or not self.successors.n:
-            return out
+            return total, out
         known = np.maximum(i, 0)
+        total = np.where(i >= 0, self.totals[known], 0)
         lo, hi = (self.pointers.access(known + k).astype(np.int64) for k in (0, 1))
         base = np.where(lo > 0, self.successors.access(np.maximum(lo - 1, 0)), U64(0))
         hi = np.where(i >= 0, hi, 0)
@@ -177,7 +182,7 @@ class BigramTrie:
         at = self.successors.index_of(base[which] + successor[ask] + U64(1))
         hit = (at >= lo[which]) & (at < hi[which])
         out[ask[hit]] = self.codes[at[hit]]
-        return out
+        return total, out
 
     def to_bytes(self) -> bytes:
         head, body = [], []
@@ -185,9 +190,9 @@ class BigramTrie:
             meta, arrays = part.parts()
             head.append(meta | {"words": [len(a) for a in arrays]})
             body += arrays
-        raw = json.dumps({"levels": head, "codes": len(self.codes)}).encode()
+        raw = json.dumps({"levels": head, "totals": len(self.totals), "codes": len(self.codes)}).encode()
         raw += b" " * (-(8 + len(raw)) % 8)
-        return len(raw).to_bytes(8, "little") + raw + b"".join(a.tobytes() for a in body) + self.codes.tobytes()
+        return len(raw).to_bytes(8, "little") + raw + b"".join(a.tobytes() for a in body) + self.totals.tobytes() + self.codes.tobytes()
 
     @classmethod
     def from_buffer(cls, buffer) -> BigramTrie:
@@ -202,8 +207,17 @@ class BigramTrie:
                 arrays.append(data[at : at + 8 * n].view(np.uint64))
                 at += 8 * n
             parts.append(EliasFano(level["n"], level["low_bits"], *arrays))
-        return cls(*parts, data[at : at + 2 * head["codes"]].view(np.uint16))
+        totals = data[at : at + 8 * head["totals"]].view(np.int64)
+        at += 8 * head["totals"]
+        return cls(*parts, totals, data[at : at + 2 * head["codes"]].view(np.uint16))
 
     @classmethod
     def open(cls, path: str) -> BigramTrie:
         return cls.from_buffer(np.memmap(path, np.uint8, "r"))
+
+    def mapped(self) -> BigramTrie:
+        """The same trie over an anonymous memory map, which holds nothing but its compact levels."""
+        raw = self.to_bytes()
+        room = mmap.mmap(-1, len(raw))
+        room.write(raw)
+        return self.from_buffer(room)

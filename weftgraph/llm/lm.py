@@ -2,13 +2,16 @@
 
 Every chunk of documents sends its distinct words and bigrams, with their counts in training
 texts, to buckets.  A bucket of words sums the counts.  A bucket of bigrams builds a trie shard
-(monotone pointers, successors by context, quantised counts) and looks up each
+(monotone pointers, successors by context, quantised probabilities) in a memory map and looks up each
 chunk's bigrams in it by context-relative successor search.  The chunk then
 scores its texts.  The model is never in one place, so it may grow with the
 corpus; a context is spread over several shards, so a frequent word is no hot spot.
 
 Smoothing is Dirichlet's: p(w | v) = (c(v, w) + m p(w)) / (c(v) + m), with the base distribution
-p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).  A shard has a part of the successors of v, which come n times in all; it stores the
+quantised c(v, w) / n, and the asking chunk, which knows c(v) and p(w), weights it with n / (c(v) + m) and adds m / (c(v) + m) p(w).
+The parts' n add up to c(v), so over all words p(. | v) sums to 1 within the error of a code, 2 ** (0.5 / STEPS), and never
+exceeds 1.
 """
 
 from __future__ import annotations
@@ -129,7 +132,7 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             rows.append((b, chunk, 1, blob(keys[c[lo:hi][new]]), blob(np.diff(np.append(new, hi - lo)).astype(np.uint32)), _pack40(keys[s[lo:hi]]), blob(pairs[lo:hi])))
         return pa.table([list(x) for x in zip(*rows, strict=True)], schema=pa.schema(fields))
 
-    sent = by_chunk(base).applyInArrow(send, message)
+    sent = by_chunk(base).applyInArrow(send, message).repartition(buckets, "bucket")
 
     def merged(t: pa.Table):
         keys, count = column(t, "a", np.uint64), column(t, "b", np.int64)
@@ -137,7 +140,7 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
         return every, np.bincount(inverse, weights=np.concatenate(count), minlength=len(every)).astype(np.int64), inverse, [len(k) for k in keys]
 
     def answer(t: pa.Table) -> pa.Table:
-        kind, out = t.column("kind")[0].as_py(), []
+        kind, out, parts = t.column("kind")[0].as_py(), [], []
         if kind == 0:
             _, total, inverse, sizes = merged(t)
             out = [blob(x) for x in np.split(total[inverse], np.cumsum(sizes)[:-1])]
@@ -145,10 +148,14 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             ctx, runs = column(t, "a", np.uint64), [x.astype(np.int64) for x in column(t, "b", np.uint32)]
             suc = [_unpack40(x) for x in t.column("c").to_pylist()]
             shard = build_shard([np.repeat(k, r) for k, r in zip(ctx, runs, strict=True)], suc, [x.astype(np.int64) for x in column(t, "d", np.uint32)])
-            out = [_pack_codes(shard.lookup(c, r, x)) for c, r, x in zip(ctx, runs, suc, strict=True)]
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": t.column("kind"), "a": tk.binary_array(out)})
+            shard = shard.mapped()
+            for c, r, x in zip(ctx, runs, suc, strict=True):
+                part, code = shard.lookup(c, r, x)
+                out.append(_pack_codes(code))
+                parts.append(blob(part))
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": t.column("kind"), "a": tk.binary_array(out), "b": tk.binary_array(parts or [b""] * len(out))})
 
-    answers = sent.groupBy("kind", "bucket").applyInArrow(answer, "chunk int, bucket int, kind int, a binary")
+    answers = sent.groupBy("kind", "bucket").applyInArrow(answer, "chunk int, bucket int, kind int, a binary, b binary")
 
     def total(t: pa.Table) -> pa.Table:
         n = v = 0
@@ -158,10 +165,13 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             n, v = int(count[real].sum()), int((count[real] > 0).sum())
         return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
 
-    totals = sent.groupBy("kind", "bucket").applyInArrow(total, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    # the same exchange once more, of which only messages of words go on
+    of_words = lambda c: F.when(F.col("kind") == 0, F.col(c)).alias(c)
+    words = sent.select("bucket", "kind", "chunk", of_words("a"), of_words("b"), F.octet_length("c").alias("c"), F.octet_length("d").alias("d"))
+    totals = words.groupBy("kind", "bucket").applyInArrow(total, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     # one small row for each chunk
     packed = F.unhex(F.concat(F.lpad(F.hex("n"), 16, "0"), F.lpad(F.hex("v"), 16, "0")))
-    told = totals.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("chunk"), F.lit(-1).alias("bucket"), F.lit(2).alias("kind"), packed.alias("a"))
+    told = totals.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("chunk"), F.lit(-1).alias("bucket"), F.lit(2).alias("kind"), packed.alias("a"), F.lit(b"").alias("b"))
 
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -171,20 +181,23 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
         keys, idx, ctx, off, _ = _tokens(t)
         at, c, s, cut2 = _pairs(keys, idx, ctx, buckets)
         cut1 = bucket_slices(keys, buckets)
-        count, code = np.zeros(len(keys), np.int64), np.zeros(len(c), np.uint16)
+        count, code, part = np.zeros(len(keys), np.int64), np.zeros(len(c), np.uint16), np.zeros(len(c), np.int64)
         n = v = 0
-        for b, kind, raw in zip(got.column("bucket").to_pylist(), got.column("kind").to_pylist(), got.column("a").to_pylist(), strict=True):
+        for b, kind, raw, sums in zip(*(got.column(x).to_pylist() for x in ("bucket", "kind", "a", "b")), strict=True):
             if kind == 0:
                 count[cut1[b] : cut1[b + 1]] = np.frombuffer(raw, np.int64)
             elif kind == 1:
-                code[cut2[b] : cut2[b + 1]] = _unpack_codes(raw)
+                lo, hi = cut2[b], cut2[b + 1]
+                code[lo:hi] = _unpack_codes(raw)
+                runs = np.cumsum(np.append(0, c[lo + 1 : hi] != c[lo : hi - 1]))
+                part[lo:hi] = np.frombuffer(sums, np.int64)[runs]
             else:
                 n, v = (int(x) for x in np.frombuffer(raw, ">i8"))
         unigram = (count + 0.5) / (n + 0.5 * (v + 1))
         p = unigram[idx]
-        model = (dequantise(code)[at] + prior * p) / (count[ctx] + prior)
+        model = ((dequantise(code) * part)[at] + prior * p) / (count[ctx] + prior)
         sums = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every row has its end token
-        out = {"id": t.column("id"), "n_tokens": pa.array(np.diff(off), pa.int64()), "n_known": pa.array(sums((count[idx] > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(t.num_rows, n), pa.int64()), "base_score": pa.array(sums(np.log10(p))), "score": pa.array(np.minimum(sums(np.log10(model)), 0.0))}
+        out = {"id": t.column("id"), "n_tokens": pa.array(np.diff(off), pa.int64()), "n_known": pa.array(sums((count[idx] > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(t.num_rows, n), pa.int64()), "base_score": pa.array(sums(np.log10(p))), "score": pa.array(sums(np.log10(model)))}
         return pa.table(out, schema=schema)
 
     done = by_chunk(base).cogroup(by_chunk(answers.unionByName(told))).applyInArrow(score, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
