@@ -134,7 +134,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 #: Pairs compared before their rows are handed on.
 PAIRS = 256
 #: Members of a group that one task gets for each of its groups.
-MEMBERS = 4096
+MEMBERS = 256
 #: Pivots of a bucket in the second round, on average.
 GROWTH = 16
 #: Rounds with pivots, before the rest is joined by its sets.
@@ -149,18 +149,19 @@ def _salt(members: str, of: str, share: int = MEMBERS):
 
 
 def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b, na, nb, linked, settled, delta) of pairs (a, b) of ids; ``m`` bounds the pairs of an ``a``.
+    """(a, b, m, na, nb, linked, settled, delta) of pairs (a, b, m) of ids; ``m`` says about how many pairs ``a`` has.
 
     ``linked``: 100 * intersection >= per_cent * union.  ``delta``: the elements of one set only, if b is
     within the radius of a, else null.  ``settled``: b is linked, or so far within that it can't be
     linked to a set beyond.  A task reads the set of ``a``, then streams those of its share of partners.
     """
-    dealt = pairs.select("a", "b", _salt("m", "b").alias("salt"))
-    ends = dealt.select("a", "salt", F.lit(0).alias("tail"), F.col("a").alias("id")).distinct().union(dealt.select("a", "salt", F.lit(1), F.col("b")))
-    rows = ends.join(sets, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").select("tail", "id", "set")
+    dealt = pairs.select("a", "b", "m", _salt("m", "b").alias("salt"))
+    ends = dealt.select("a", "salt", F.lit(0).cast("long").alias("m"), F.col("a").alias("id")).distinct().union(dealt.select("a", "salt", "m", "b"))
+    # the set of ``a`` has no m and comes first
+    rows = ends.join(sets, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "m").select("m", "id", "set")
     share = (100 - per_cent) / (100 + per_cent)
-    names = ["a", "b", "na", "nb", "linked", "settled", "delta"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+    names = ["a", "b", "m", "na", "nb", "linked", "settled", "delta"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches):
         a, x = None, None
@@ -168,9 +169,9 @@ def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
             for at in range(0, batch.num_rows, PAIRS):
                 part = batch.slice(at, PAIRS)
                 out: list[list] = [[] for _ in names]
-                for tail, i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                for m, i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     y = np.frombuffer(raw.as_buffer(), np.uint64)
-                    if not tail:
+                    if not m:
                         a, x = i, y.copy()
                         continue
                     diff = np.setxor1d(x, y, assume_unique=True)
@@ -178,25 +179,24 @@ def compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                     radius = 2 * RADIUS * share * len(x)
                     linked = 100 * (total - len(diff)) >= per_cent * (total + len(diff))
                     settled = linked or len(diff) + share * len(y) * (1 + 100 / per_cent) + 1e-6 <= radius
-                    row = (a, i, len(x), len(y), linked, settled, diff.view(np.int64) if len(diff) <= radius + 1e-6 else None)
+                    row = (a, i, m, len(x), len(y), linked, settled, diff.view(np.int64) if len(diff) <= radius + 1e-6 else None)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    return rows.mapInArrow(tk.handing_back(run), "a long, b long, na long, nb long, linked boolean, settled boolean, delta array<long>")
+    return rows.mapInArrow(tk.handing_back(run), "a long, b long, m long, na long, nb long, linked boolean, settled boolean, delta array<long>")
 
 
 def meeting(items: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b, m) of items of one group that may be linked by what their elements share.
 
-    An item (g, b, comp, nb, elements, keep, keep_any, late) is a set of nb elements, of which those in ``elements`` differ from
-    what its group has in common.  Items of one component don't meet, nor two with ``late``.  ``keep`` and
+    An item (g, m, b, comp, nb, elements, keep, keep_any, late) is a set of nb elements, of which those in ``elements`` differ from
+    what its group, of about m items, has in common.  Items of one component don't meet, nor two with ``late``.  ``keep`` and
     ``keep_any``: how many of an item's rarest elements any partner without ``late``, or any at all, must share one of.
     """
     share = (100 - per_cent) / (100 + per_cent)
     items = stored(items, "items")
-    size = items.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    d = items.join(size, "g").withColumn("d", F.size("elements"))
+    d = items.withColumn("d", F.size("elements"))
     e = d.select("g", "b", "comp", "nb", "d", "late", "keep", "keep_any", _salt("m", "b").alias("salt"), F.explode("elements").alias("e"))
     # an element of a whole group is counted and told part by part
     parts = e.groupBy("g", "e", "salt").agg(F.count(F.lit(1)).alias("c"))
@@ -227,13 +227,15 @@ def _with_comp(df: DataFrame, label: DataFrame | None, node: str) -> DataFrame:
 def beside(balls: DataFrame, label: DataFrame | None, per_cent: int) -> DataFrame:
     """Pairs within the radius of one pivot, at least one of them not linked to it, that may be linked."""
     share = (100 - per_cent) / (100 + per_cent)
-    d = balls.filter("delta IS NOT NULL").withColumn("d", F.size("delta"))
-    d = d.join(d.filter("NOT linked").select("a").distinct(), "a", "left_semi")
+    d = balls.filter("delta IS NOT NULL").withColumn("d", F.size("delta")).withColumn("salt", _salt("m", "b"))
+    open_ = d.groupBy("a").agg(F.max("m").alias("m"), F.min("linked").alias("all")).filter("NOT all")
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / MEMBERS).cast("int") - 1)).alias("salt")
+    d = d.join(open_.select("a", parts), ["a", "salt"], "left_semi")
     # the least overlap with any set that isn't linked to the pivot, and with any set at all
     floor = lambda x: F.floor(x / 2 - 1e-9).cast("int") + 1
     least = floor(F.col("d") + share * (F.col("na") - F.col("nb")))
     least_any = F.greatest(F.lit(1), floor(F.col("d") - share * (F.col("na") + F.col("nb"))))
-    items = d.select(F.col("a").alias("g"), "b", "nb", F.col("delta").alias("elements"), (F.col("d") - least + 1).alias("keep"), (F.col("d") - least_any + 1).alias("keep_any"), F.col("linked").alias("late"))
+    items = d.select(F.col("a").alias("g"), "m", "b", "nb", F.col("delta").alias("elements"), (F.col("d") - least + 1).alias("keep"), (F.col("d") - least_any + 1).alias("keep_any"), F.col("linked").alias("late"))
     return meeting(_with_comp(items, label, "b"), per_cent)
 
 
@@ -246,7 +248,7 @@ def among(rest: DataFrame, sets: DataFrame, label: DataFrame | None, per_cent: i
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(raw), np.int64)), batch.column(0), pa.array(raw, pa.list_(pa.int64()))], names=["g", "b", "elements"])
 
     whole = sets.join(rest, "id", "left_semi").select("id", "set").mapInArrow(tk.handing_back(run), "g long, b long, elements array<long>")
-    items = whole.select("g", "b", F.size("elements").alias("nb"), "elements", F.lit(False).alias("late"))
+    items = whole.select("g", F.lit(rest.count()).alias("m"), "b", F.size("elements").alias("nb"), "elements", F.lit(False).alias("late"))
     # a linked partner has per_cent of the elements at least
     keep = F.col("nb") - F.ceil(F.col("nb") * per_cent / 100 - 1e-9).cast("int") + 1
     return meeting(_with_comp(items.withColumns({"keep": keep, "keep_any": keep}), label, "b"), per_cent)
