@@ -65,3 +65,20 @@ def test_empty_tables_and_kept_columns(spark, docs):
     assert out.filter("_p_contaminated OR _p_n_hit > 0").count() == 0
     assert out.filter("n_words = 9 AND _items = 7").count() == len(rows)
     assert run(D.decontaminate(docs(*rows).limit(0), bench(spark, items))) == []
+
+
+def test_items_without_id_and_columns_that_stay(spark, docs):
+    bench = spark.createDataFrame([(None, "a b c d"), (7, "c d e f")], "item_id long, text string")
+    d = docs((1, "x a b c d y"), (2, "a b c d e f"), (3, "none here")).withColumnRenamed("score", "_hits")
+    out = {r["doc_id"]: r for r in D.decontaminate(d, bench, block_bytes=4).collect()}
+    assert [(out[i]["n_hit"], out[i]["n_items"], out[i]["contaminated"]) for i in (1, 2, 3)] == [(4, 0, True), (6, 1, True), (0, 0, False)]
+    assert out[1]["_hits"] == "extra" and out[1]["_items"] == 7
+
+
+def test_tables_grow_with_the_patterns():
+    import random
+
+    r = random.Random(1)
+    items = [(str(i), " ".join(f"w{r.randrange(50_000)}" for _ in range(300))) for i in range(100)]
+    (s,) = D.searchers(items, 13)
+    assert (s.shift == 0).mean() < 0.1 and s.shift.mean() > 8

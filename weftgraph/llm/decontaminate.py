@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import stored, text_size, with_fields
+from .common import discard, stored, text_size, with_fields
 
 #: Text bytes of one block of benchmark items; each block is broadcast by itself.
 BLOCK_BYTES = 8 << 20
@@ -42,7 +42,8 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Searcher for patterns that all have ``m`` words."""
 
-    BITS = 18
+    #: The table has about SPARSE entries for each block that ends a pattern, so most blocks of a text skip; 2 ** MOST at most.
+    SPARSE, MOST = 16, 24
 
     def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], m: int):
         self.m, self.b = m, min(2, m)
@@ -54,18 +55,19 @@ class WuManber:
         self.data, self.starts, self.lens = data, starts.reshape(-1, m), (ends - starts).reshape(-1, m)
         h = np.concatenate([tk.span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i in range(0, len(flat), 4096) for j in [min(i + 4096, len(flat))]])
         self.h = h.reshape(-1, m)
-        self.shift = np.full(1 << self.BITS, m - self.b + 1, np.int64)
+        self.bits = min(self.MOST, max(12, int(self.SPARSE * len(keys)).bit_length()))
+        self.shift = np.full(1 << self.bits, min(255, m - self.b + 1), np.uint8)
         for j in range(m - self.b + 1):
-            np.minimum.at(self.shift, self._block(self.h, j), m - self.b - j)
+            np.minimum.at(self.shift, self._block(self.h, j), min(255, m - self.b - j))
         last = self._block(self.h, m - self.b)
         self.order = np.argsort(last, kind="stable")
-        self.bucket = np.searchsorted(last[self.order], np.arange((1 << self.BITS) + 1))
+        self.last = last[self.order]
         self.items = [patterns[k] for k in keys]
 
     def _block(self, h: np.ndarray, j: int) -> np.ndarray:
         first = h[..., j]
         x = first if self.b == 1 else first * tk.U64(0x9E3779B97F4A7C15) + h[..., j + 1]
-        return (x >> tk.U64(64 - self.BITS)).astype(np.int64)
+        return (x >> tk.U64(64 - self.bits)).astype(np.int64)
 
     def search(self, h: np.ndarray, woff: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, pattern) of each occurrence within the rows given by ``woff``."""
@@ -79,8 +81,8 @@ class WuManber:
             x = h[p + (m - b)]
             if b == 2:
                 x = x * tk.U64(0x9E3779B97F4A7C15) + h[p + (m - 1)]
-            block = (x >> tk.U64(64 - self.BITS)).astype(np.int64)
-            s = self.shift[block]
+            block = (x >> tk.U64(64 - self.bits)).astype(np.int64)
+            s = self.shift[block].astype(np.int64)
             zero = s == 0
             if zero.any():
                 found.append((p[zero], block[zero]))
@@ -90,8 +92,8 @@ class WuManber:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, block = (np.concatenate(x) for x in zip(*found, strict=True))
-        lo = self.bucket[block]
-        size = self.bucket[block + 1] - lo
+        lo = np.searchsorted(self.last, block)
+        size = np.searchsorted(self.last, block, "right") - lo
         total, out = np.cumsum(size), []
         i = 0
         while i < len(at):  # a bounded number of pairs at a time
@@ -120,7 +122,7 @@ class WuManber:
         return at[right], pat[right]
 
 
-def searchers(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
+def searchers(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
     """One searcher for windows of full length and one for each length of shorter items."""
     by: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
     for item, text in items:
@@ -128,7 +130,7 @@ def searchers(items: list[tuple[str, str | None]], window: int) -> list[WuManber
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
             owners = by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), [])
-            if item not in owners:
+            if item is not None and item not in owners:
                 owners.append(item)
     return [WuManber(p, m) for m, p in sorted(by.items())]
 
@@ -158,19 +160,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     time is broadcast, and between blocks the state is written to the shared folder.  Null texts have
     no words; items of fewer words than ``window`` are one window; equal windows of
     several items count for each; an empty benchmark contaminates nothing; repeated
-    rows are judged each by itself.  Columns of ``docs`` stay; those with the
-    names of the new ones are replaced.
+    rows are judged each by itself; an item without an id hits words, but is neither counted nor named.  Columns of ``docs``
+    stay; those with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
     added = [prefix + c for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    hits_col, items_col = f"{prefix}_hits", f"{prefix}_items"
-    docs = docs.drop(*added, hits_col, items_col)
+    hits_col, items_col = (f"_weft_{c}_{prefix}" for c in ("hits", "items"))
+    docs = docs.drop(*added)
     blocks = max(1, -(-text_size(benchmark, item_text_col) // block_bytes))
     df = docs.withColumns({hits_col: F.lit(None).cast("binary"), items_col: F.lit(None).cast("array<string>")})
     schema = df.schema
     for k in range(blocks):
         own = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k)
-        rows = [(str(r[0]), r[1]) for r in own.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull()).toLocalIterator()]
+        rows = [(None if r[0] is None else str(r[0]), r[1]) for r in own.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull()).toLocalIterator()]
         sent = spark.sparkContext.broadcast(searchers(rows, window))
 
         def step(batch, sent=sent):
@@ -197,7 +199,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         cols = dict(zip(part.schema.names, part.columns, strict=True)) | {hits_col: pa.array(hits, pa.binary()), items_col: pa.array(ids, pa.list_(pa.string()))}
                         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-            df = stored(df.mapInArrow(run, schema), "hits")
+            before, df = df, stored(df.mapInArrow(tk.handing_back(run), schema), "hits")
+            if k:
+                discard(before)
 
     def last(batch):
         woff, hits, ids = step(batch)
@@ -237,7 +241,7 @@ win AS (
   FROM (SELECT r, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lens WHERE len(w) >= m)),
 occ AS (SELECT r, i, m, item FROM win JOIN pat USING (m, p)),
 hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + m - 1)) AS j FROM (SELECT DISTINCT r, i, m FROM occ)) GROUP BY r),
-ids AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
+ids AS (SELECT r, count(item) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids.s, '')) AS items_sha256,
   coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
