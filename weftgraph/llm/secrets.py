@@ -21,6 +21,8 @@ from .common import table
 MARK = "\x01"
 #: Characters kept before and after a candidate.
 CONTEXT = 64
+#: Pieces of a text whose lengths are added up together.
+BLOCK = 256
 
 # Common words for dictionary coverage, and neighbouring words that speak for or against.
 WORDS = "about after again also another back because been before being between both build cache class client code config could count create data date default delete does down each error event even every field file filter find first from function get good have header help here home html http image import index info input into item just keep key know label last left like line link list load local login long made main make many menu message method model more most much must name need never next node null number object only open option order other output over page panel param part path people place point post print query read record region request response result return right root same save search section select server service session should show size some source start state static status store string style such system table take task template test text than that their them then there these they thing this time title token tree type under update upload user value version view want well were what when where which while will with word work world would write year your".split()
@@ -84,7 +86,7 @@ def labelled_findings(n: int = 1200, seed: int = 5) -> list[Finding]:
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     out = []
     for i in range(n):
-        path = r.choice(["src/app.py", "src0", "src7", "config/settings.yml", "deploy/prod.env", ".env", "lib/client.js", ""])
+        path = r.choice(["src/app.py", "lib/util.js", "cmd/main.go", "config/settings.yml", "deploy/prod.env", ".env", "lib/client.js", ""])
         quote = r.choice(['"', "'", '"'])
         filler = " ".join(r.choice(WORDS) for _ in range(r.randint(0, 5)))
         if i % 2:
@@ -124,7 +126,7 @@ def _assigned_findings(r: random.Random, n: int) -> list[Finding]:
     alnum = string.ascii_letters + string.digits
     out = []
     for i in range(n):
-        path = r.choice(["src/app.py", "src0", "src7", "config/settings.yml", "deploy/prod.env", ".env", ""])
+        path = r.choice(["src/app.py", "lib/util.js", "cmd/main.go", "config/settings.yml", "deploy/prod.env", ".env", ""])
         filler = " ".join(r.choice(WORDS) for _ in range(r.randint(0, 5)))
         name = r.choice(["token", "secret", "api_key", "password", "passwd", "auth", "DB_PASSWORD", "SECRET_KEY", "API_TOKEN", "private_key", "credential"])
         before, after = r.choice([(f"{filler}\n{name}=", "\n"), (f"{filler}\n{name}=", f"\n{filler}"), (f"{name}: ", f" {filler}"), (f'{filler} {name} = "', f'" {filler}'), (f'"{name}": "', '",')])
@@ -204,8 +206,12 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = N
     marked = F.split(F.regexp_replace(F.translate(text_col, MARK, " "), CANDIDATE, MARK + "$0" + MARK), MARK)
     pieces = docs.filter(F.col(text_col).rlike(CANDIDATE)).select(*keep, (F.col(path_col) if path_col else F.lit("")).cast("string").alias("path"), marked.alias("_p"))
     found = F.expr("transform(sequence(1, size(_p) - 2, 2), i -> struct(CAST((i + 1) div 2 AS INT) AS nth, right(_p[i - 1], %d) AS before, _p[i] AS value, left(_p[i + 1], %d) AS after))" % (CONTEXT, CONTEXT))
-    ends = F.expr("aggregate(_p, CAST(array(1) AS ARRAY<INT>), (a, s) -> concat(a, array(element_at(a, -1) + length(s))))")
-    return pieces.withColumn("_at", ends).withColumn("_c", F.explode(found)).select(*keep, F.col("_c.nth").alias("nth"), F.expr("_at[2 * _c.nth - 1]").alias("start"), "_c.value", "_c.before", "_c.after", "path")
+    # lengths of the pieces before, by blocks of BLOCK pieces, so that no text needs quadratic time
+    sums = F.expr(f"transform(sequence(0, (size(_p) - 1) div {BLOCK}), b -> aggregate(slice(_p, b * {BLOCK} + 1, {BLOCK}), 0, (a, s) -> a + length(s)))")
+    before = F.expr("aggregate(_s, CAST(array(1) AS ARRAY<INT>), (a, s) -> concat(a, array(element_at(a, -1) + s)))")
+    at = F.expr(f"_b[(2 * _c.nth - 1) div {BLOCK}] + aggregate(slice(_p, (2 * _c.nth - 1) div {BLOCK} * {BLOCK} + 1, (2 * _c.nth - 1) % {BLOCK}), 0, (a, s) -> a + length(s))")
+    placed = pieces.withColumn("_s", sums).withColumn("_b", before)
+    return placed.withColumn("_c", F.explode(found)).select(*keep, F.col("_c.nth").alias("nth"), at.alias("start"), "_c.value", "_c.before", "_c.after", "path")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, forest: tuple[list, list[str]] | None = None) -> DataFrame:
