@@ -73,3 +73,45 @@ def test_languages(spark, docs):
 def test_one_language_only(spark, docs):
     d = docs(*[(i, say(random.Random(i), "en", 9), "xx") for i in range(20)])
     assert {r["lang_pred"] for r in langid.identify(d, langid.fit(d)).collect()} == {"xx"}
+
+
+def test_tied_neighbours():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.integers(0, 5, (6, (1 << quality.BITS) + quality.STYLE)), 10, axis=0).astype(np.float32)
+    y = rng.integers(0, 2, 60)
+    m = quality.LatentVoting(x, y, 0.5, 5, 4)
+    for i in range(0, 60, 10):  # ten equal vectors: the first four vote
+        w = m.weight[i : i + 4]
+        assert abs(m.score(x[i : i + 1])[0] - (w * y[i : i + 4]).sum() / w.sum()) < 1e-4
+
+
+def test_family_then_pairs_like_brute_force():
+    """The family with the largest squashed margin, then the votes of its machines, by plain loops."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "fr", "es", "xx"]
+    y = [langs[i % 5] for i in range(100)]
+    x = rng.random((100, 12)).astype(np.float32)
+    for i, k in enumerate(y):
+        x[i, langs.index(k)] += 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = langid.FamilyThenLanguage(x, y)
+    squash = lambda v: 1 / (1 + math.exp(-4 * min(8, max(-8, v))))
+    lang, score = m.predict(x)
+    assert sum(a == b for a, b in zip(lang, y, strict=True)) > 90
+    for i in range(100):
+        row = [*map(float, x[i]), 1.0]
+        dot = lambda w: sum(a * float(b) for a, b in zip(row, w, strict=True))  # noqa: E731, B023
+        fam = [squash(dot(w)) for w in m.family_w]
+        f = max(range(len(fam)), key=lambda k: fam[k])
+        members, votes = m.members[f], [0.0] * len(m.members[f])
+        for (a, b), w in m.pair_w[f].items():
+            votes[a] += squash(dot(w))
+            votes[b] += 1 - squash(dot(w))
+        want = fam[f] / sum(fam) * (max(votes) / max(1, len(members) - 1) if len(members) > 1 else 1)
+        assert lang[i] == members[votes.index(max(votes))] and abs(score[i] - want) < 1e-4

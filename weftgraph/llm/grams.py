@@ -12,7 +12,7 @@ ROWS = 512
 
 
 def counts(column: pa.Array, bits: int, case: np.ndarray, sizes: tuple[int, ...] = (3,)) -> np.ndarray:
-    """Rows by 2**bits matrix of n-gram counts (float32); n-grams don't cross rows."""
+    """Rows by 2**bits matrix of n-gram counts (float32), 65535 at most in training and use alike; n-grams don't cross rows."""
     data, off = tk.text_bytes(column)
     n, d = len(off) - 1, 1 << bits
     out = np.zeros((n, d), np.float32)
@@ -31,7 +31,7 @@ def counts(column: pa.Array, bits: int, case: np.ndarray, sizes: tuple[int, ...]
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             ok = row[:m] == row[size - 1 :]
             total += np.bincount(row[:m][ok] * d + (h[ok] >> np.uint32(32 - bits)).astype(np.int64), minlength=len(total))
-        out[i:j] = total.reshape(j - i, d)
+        out[i:j] = np.minimum(total, 65535).reshape(j - i, d)
     return out
 
 
@@ -44,14 +44,14 @@ def row_batches(batches, text_col: str, limit: int = tk.SLICE_BYTES):
 
 
 def collect_features(rows: DataFrame, text_col: str, keep: list[str], make) -> tuple[np.ndarray, list[tuple]]:
-    """Feature vectors (16-bit counts) of a bounded sample, made on the executors, and the columns ``keep``."""
+    """Feature vectors (counts of two bytes) of a bounded sample, made on the executors, and the columns ``keep``."""
     kept = rows.select(*keep, text_col)
     at = kept.schema.names.index(text_col)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop(text_col).schema.fields) + ", _x binary"
 
     def run(batches):
         for part in row_batches(batches, text_col):
-            x = np.minimum(make(part.column(at)), 65535).astype(np.uint16)
+            x = make(part.column(at)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), tk.binary_array([r.tobytes() for r in x])], names=[*keep, "_x"])
 
     got = kept.mapInArrow(run, schema).toArrow()

@@ -100,14 +100,14 @@ class FamilyThenLanguage:
 
 
 def fit(docs: DataFrame, per_language: int = 600, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> FamilyThenLanguage | None:
-    """Learns from about ``per_language`` rows of each language, chosen by hash of the id."""
+    """Learns from about ``per_language`` rows of each language, chosen by hash of id and text; never more than twice as many in all."""
     sound = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     n = {r[0]: r[1] for r in sound.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
     if not n:
         return None
     share = F.element_at(F.create_map(*(F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, per_language / c)))), F.col(lang_col))
-    u = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) / (1 << 20)
-    rows = sound.filter(u < share).limit(2 * per_language * len(n))
+    u = F.pmod(F.xxhash64(id_col, text_col, F.lit(5)), F.lit(1 << 20)) / (1 << 20)
+    rows = sound.filter(u < share).orderBy(u, id_col).limit(2 * per_language * len(n))
     x, kept = grams.collect_features(rows, text_col, [id_col, lang_col], _counts)
     if not len(x):
         return None

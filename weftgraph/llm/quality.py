@@ -92,6 +92,10 @@ class LatentVoting:
         sim = v @ self.points.T
         k = min(self.k, sim.shape[1])
         near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        # of points as similar as the last of them, the first ones vote
+        least = np.take_along_axis(sim, near, 1).min(1, keepdims=True)
+        tied = np.flatnonzero((sim >= least).sum(1) > k)
+        near[tied] = np.argsort(-sim[tied], axis=1, kind="stable")[:, :k]
         s = np.maximum(np.take_along_axis(sim, near, 1), 0) ** 8 * self.weight[near]
         total = s.sum(1)
         return np.where(total > 0, (s * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.prior).astype(np.float64)
@@ -121,7 +125,7 @@ def classify(docs: DataFrame, model: LatentVoting | None, text_col: str = "text"
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on), named with ``prefix``.
 
     Null and empty texts, and all texts without a model, get the prior (0.5
-    without a model).  Repeated rows get the same score.  Columns with the new names are replaced.
+    without a model).  Repeated rows get the same score.  Of labelled vectors with equal similarity, the first by id vote.  Columns with the new names are replaced.
     """
     names = [f"{prefix}score", f"{prefix}predicted"]
     docs = docs.drop(*names)
