@@ -245,13 +245,6 @@ def test_detection(spark):
     assert [r[1] for r in p.select("path", detect.is_sensitive(F.col("path"))).collect()] == [True, True, True, False, True, False]
 
 
-def test_ignore_rules(spark):
-    rules = detect.parse_ignore(["# note", "", "*.log", "!keep.log", "/build/", "docs/**/x.md", "tmp/"])
-    p = spark.createDataFrame([(x,) for x in ("a.log", "keep.log", "build/a.py", "src/build/a.py", "docs/x.md", "docs/a/b/x.md", "a/tmp/keep.log", "b.py")], "path string")
-    got = dict(rows(detect.ignored(p, rules)))
-    assert got == {"a.log": True, "keep.log": False, "build/a.py": True, "src/build/a.py": False, "docs/x.md": True, "docs/a/b/x.md": True, "a/tmp/keep.log": True, "b.py": False}
-
-
 def test_manifest(spark):
     f = spark.createDataFrame([("a", 1.0, "h1"), ("b", 2.0, "h2")], "path string, mtime double, hash string")
     old = spark.createDataFrame([("a", 0.0, "h1", "s"), ("b", 0.0, "x", "s")], "path string, mtime double, ast_hash string, semantic_hash string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import base_name, half_even_percent, lookup, suffix
 from ..schema import CODE_SUFFIXES, IMAGE_SUFFIXES, JSON_NOISE_LABELS, PAPER_SUFFIXES, SCORE_FAMILIES, STRUCTURAL_RELATIONS
+from . import traverse
 
 
 def degree(simple: DataFrame) -> DataFrame:
@@ -117,12 +118,27 @@ def knowledge_gaps(rich: DataFrame) -> DataFrame:
     return weak.union(thin)
 
 
-def suggested_questions(rich: DataFrame, simple: DataFrame, top: int = 7) -> DataFrame:
-    """(family, question) from four families in fixed order: unclear edges, inferred edges of
-    hubs, weak nodes, loose communities.  Bridge questions need ``betweenness``."""
+def bridging_edges(simple: DataFrame, top: int = 5, between: DataFrame | None = None) -> DataFrame:
+    """Edges of ``simple`` with the highest betweenness (lo, hi, score): surprises of a graph without communities."""
+    if between is None:
+        near = neighbors(simple)
+        between = traverse.edge_betweenness(near, traverse.pivots(near))
+    return simple.join(between, ["lo", "hi"]).orderBy(F.desc("score"), "lo", "hi").limit(top)
+
+
+def suggested_questions(rich: DataFrame, simple: DataFrame, top: int = 7, between: DataFrame | None = None) -> DataFrame:
+    """(family, question) from five families in fixed order: unclear edges, bridges between communities, inferred edges of
+    hubs, weak nodes, loose communities.  ``between`` has the scores (id, score) of bridges; betweenness, if it isn't given."""
+    if between is None:
+        near = neighbors(simple)
+        between = traverse.betweenness(near, traverse.pivots(near))
     label = rich.select("id", "label")
     named = simple.filter("confidence = 'AMBIGUOUS'").orderBy("src", "dst").limit(top).join(label.withColumnsRenamed({"id": "src", "label": "ul"}), "src").join(label.withColumnsRenamed({"id": "dst", "label": "vl"}), "dst")
     q1 = named.select(F.lit(1).alias("family"), F.concat("src", F.lit("|"), "dst").alias("o"), F.concat(F.lit("What is the exact relationship between `"), "ul", F.lit("` and `"), "vl", F.lit("`?")).alias("question"))
+    bridge = rich.filter("NOT is_file AND NOT is_concept").join(between.filter("score > 0").select("id", "score"), "id").orderBy(F.desc("score"), "id").limit(3).select("id", "label", "community", "score")
+    far = neighbors(simple).select("id", "other").join(F.broadcast(bridge), "id").join(rich.select(F.col("id").alias("other"), F.col("community").alias("oc")), "other").filter("NOT oc <=> community")
+    there = F.array_join(F.transform(F.array_sort(F.collect_set("oc")), lambda x: F.concat(F.lit("`Community "), x.cast("string"), F.lit("`"))), ", ")
+    q5 = far.groupBy("id", "label", "community", "score").agg(there.alias("there")).select(F.lit(2), F.concat(F.lpad((F.lit(1e12) - F.col("score")).cast("decimal(20,6)").cast("string"), 24, "0"), "id"), F.concat(F.lit("Why does `"), "label", F.lit("` connect `Community "), F.col("community").cast("string"), F.lit("` to "), "there", F.lit("?")))
     hubs = rich.filter("NOT is_file").orderBy(F.desc("degree"), "id").limit(5).select("id", "label", "degree")
     inferred = neighbors(simple).filter("confidence = 'INFERRED'").join(F.broadcast(hubs), "id").groupBy("id", "label", "degree").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     q2 = inferred.select(F.lit(3), F.concat(F.lpad((F.lit(10**9) - F.col("degree")).cast("string"), 12, "0"), "id"), F.concat(F.lit("Are the "), F.col("n").cast("string"), F.lit(" inferred relationships involving `"), "label", F.lit("` actually correct?")))
@@ -130,7 +146,7 @@ def suggested_questions(rich: DataFrame, simple: DataFrame, top: int = 7) -> Dat
     q3 = weak.select(F.lit(4), F.lit(""), F.concat(F.lit("What connects `"), "f.label", F.lit("` and "), (F.col("n") - 1).cast("string"), F.lit(" more to the rest of the system?")))
     loose = cohesion(rich, simple).filter("cohesion < 0.15 AND size >= 5")
     q4 = loose.select(F.lit(5), F.lpad(F.col("community").cast("string"), 12, "0"), F.concat(F.lit("Should `Community "), F.col("community").cast("string"), F.lit("` be split into smaller, more focused modules?")))
-    return q1.union(q2).union(q3).union(q4).orderBy("family", "o").limit(top).select("family", "question")
+    return q1.union(q5).union(q2).union(q3).union(q4).orderBy("family", "o").limit(top).select("family", "question")
 
 
 def community_meta_edges(nodes: DataFrame, simple: DataFrame) -> DataFrame:

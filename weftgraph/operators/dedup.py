@@ -78,11 +78,39 @@ def fuzzy_pairs(nodes: DataFrame, min_entropy: float = MIN_ENTROPY, merge: float
     return p.filter((F.col("jw") >= merge) & ~is_variant(F.col("a"), F.col("b")) & allowed).select("a", "b", F.round("jw", 4).alias("score"))
 
 
-def ambiguous_pairs(nodes: DataFrame, low: float = 75.0, high: float = MERGE) -> DataFrame:
-    """(a, b, score): keys that a judge should decide on; candidates share a shingle prefix at half overlap."""
-    keys = keyed(nodes).select("key").filter("key <> ''").distinct()
+#: Added to the score of long keys that lie in one community.
+BOOST, BOOST_LENGTH = 5.0, 12
+
+
+def repo_guard(nodes: DataFrame) -> None:
+    """Raises an error if nodes of several repositories are to be resolved as one."""
+    repos = nodes.select("repo").filter(F.coalesce("repo", F.lit("")) != "").distinct().orderBy("repo").limit(3).collect()
+    if len(repos) > 1:
+        raise ValueError(f"nodes of several repositories: {', '.join(r[0] for r in repos)}")
+
+
+def boosted(score: Column, a: Column, b: Column, same_community: Column) -> Column:
+    """The score of two keys, with the bonus of long keys in one community."""
+    return F.when(same_community & (F.least(F.length(a), F.length(b)) >= BOOST_LENGTH), score + BOOST).otherwise(score)
+
+
+def ambiguous_pairs(nodes: DataFrame, low: float = 75.0, high: float = MERGE, remap: DataFrame | None = None) -> DataFrame:
+    """(a, b, score): keys that a judge should decide on; candidates share a shingle prefix at half overlap.
+
+    Variants of a model number, short keys that must not be merged, and keys that are one after ``remap`` (id, winner) are left out.
+    """
+    k = keyed(nodes).filter("key <> ''")
+    keys = k.select("key").distinct()
     p = similar_pairs(keys, 0.5).select("a", "b").withColumn("jw", jaro_winkler("a", "b") * 100)
-    return p.filter((F.col("jw") >= low) & (F.col("jw") < high)).select("a", "b", F.round("jw", 4).alias("score"))
+    short = F.greatest(F.length("a"), F.length("b")) < SHORT
+    blocked = short & ~((F.col("jw") >= SHORT_MERGE) & (F.length("a") == F.length("b")) & (damerau("a", "b") <= 1))
+    p = p.filter((F.col("jw") >= low) & (F.col("jw") < high) & ~is_variant(F.col("a"), F.col("b")) & ~blocked)
+    if remap is not None:
+        first = k.join(remap, "id", "left").groupBy("key").agg(F.min(F.coalesce("winner", "id")).alias("one"))
+        for side in ("a", "b"):
+            p = p.join(first.select(F.col("key").alias(side), F.col("one").alias(f"one_{side}")), side)
+        p = p.filter("one_a <> one_b")
+    return p.select("a", "b", F.round("jw", 4).alias("score"))
 
 
 def resolve_entities(nodes: DataFrame, decided: DataFrame | None = None) -> DataFrame:

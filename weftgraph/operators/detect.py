@@ -39,6 +39,23 @@ SENSITIVE_NAMES = [
 ]
 INTERPRETERS = "python python3 python2 ruby perl node nodejs bash sh dash zsh fish ksh tcsh lua php julia Rscript".split()
 ASSET_DIRS = r"\.(imageset|xcassets|appiconset|colorset|launchimage)(/|$)"
+NOISE_DIRS = [
+    "venv", ".venv", "env", ".env",
+    "node_modules", "__pycache__", ".git",
+    "dist", "build", "target", "out",
+    "site-packages", "lib64",
+    ".pytest_cache", ".mypy_cache", ".ruff_cache",
+    ".tox", ".eggs",
+    "coverage", "lcov-report",
+    "visual-tests", "visual-test",
+    "__snapshots__", "snapshots",
+    "storybook-static",
+    "dist-protected",
+    ".next", ".nuxt", ".turbo", ".angular",
+    ".idea", ".cache", ".parcel-cache", ".svelte-kit", ".terraform", ".serverless",
+    ".worktrees",
+]
+LOCK_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum"]
 PAPER_THRESHOLD, PAPER_CHARS = 3, 3000
 
 
@@ -87,43 +104,99 @@ def is_sensitive(path: Column) -> Column:
     return found
 
 
-def parse_ignore(lines: list[str]) -> list[tuple[str, bool]]:
-    """(pattern, negated) of an ignore file; comments and blank lines go."""
+def is_noise_dir(name: Column, parent: Column) -> Column:
+    """Whether a folder holds environments, caches, dependencies or build results."""
+    return name.isin(NOISE_DIRS) | name.rlike(r"(_venv|_env|\.egg-info)$") | ((name == "worktrees") & F.coalesce(parent.startswith("."), F.lit(False)))
+
+
+def in_noise(path: Column) -> Column:
+    """Whether any folder of a relative path is noise, or the file is a lock file."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    parents = F.concat(F.array(F.lit("")), folders)
+    inside = F.exists(F.zip_with(folders, F.slice(parents, 1, F.size(folders)), lambda x, y: is_noise_dir(x, y)), lambda x: x)
+    return inside | base_name(path).isin(LOCK_FILES)
+
+
+def parse_ignore(lines: list[str], folder: str = "") -> list[tuple[str, bool, str]]:
+    """(pattern, negated, folder) of an ignore or allow file in ``folder``.
+
+    Blank lines and comments go, and so does a comment after a blank; ``\\#`` is a plain sign;
+    blanks at the end go unless escaped.
+    """
     out = []
-    for line in lines:
-        text = line.rstrip("\n")
-        text = text if text.endswith("\\ ") else text.rstrip()
-        if not text or text.startswith("#"):
+    for raw in lines:
+        line = raw.rstrip("\r\n").lstrip()
+        if not line or line.startswith("#"):
             continue
-        negated = text.startswith("!")
-        text = text[1:] if negated or text.startswith(("\\#", "\\!")) else text
-        out.append((text, negated))
+        line = re.sub(r"\s+#+[^\\].*$", "", line).replace("\\#", "#")
+        line = re.sub(r"(?<!\\) +$", "", line)
+        negated = line.startswith("!")
+        if line[negated:].strip("/"):
+            out.append((line[negated:], negated, folder))
     return out
 
 
-def _ignore_regex(pattern: str) -> str:
-    """Regular expression on a whole relative path of a file or folder."""
-    body = pattern.rstrip("/")
-    anchored = "/" in body
-    body = body.lstrip("/")
-    rx = ""
-    for part in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*)", body):
-        rx += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*"}.get(part) or re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(part)).replace(".*", "[^/]*").replace("(?s:", "(?:")
-    return f"^{rx}$" if anchored else f"^(?:.*/)?{rx}$"
+def _glob(pattern: str) -> str:
+    """A shell pattern as a regular expression of the whole text; ``*`` crosses folders."""
+    return "^" + re.sub(r"\\[zZ]$", "", fnmatch.translate(pattern)) + r"\z"
+
+
+def _parts_and_heads(path: Column) -> Column:
+    """The parts of a path, the folders above it and the path itself."""
+    parts = F.split(path, "/")
+    return F.concat(parts, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+
+
+def _rule_hits(path: Column, pattern: str, folder: str) -> Column:
+    """Whether a rule speaks of a relative path: one that starts with a slash of the path seen from the
+    rule's folder, others of the path, its name, any part or any folder above."""
+    rx = _glob(pattern.strip("/"))
+    inside = F.when(path.startswith(f"{folder}/"), F.substring(path, len(folder) + 2, 1 << 30)) if folder else path
+    if pattern.startswith("/"):
+        return F.coalesce(inside.rlike(rx), F.lit(False))
+    found = F.exists(_parts_and_heads(path), lambda x: x.rlike(rx))
+    return found | F.coalesce(F.exists(_parts_and_heads(inside), lambda x: x.rlike(rx)), F.lit(False)) if folder else found
 
 
-def ignored(paths: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
-    """(path, ignored): the last matching rule decides, and an ignored folder hides what is in it."""
+def ignored(paths: DataFrame, rules: list[tuple[str, bool, str]]) -> DataFrame:
+    """(path, ignored): the last rule that speaks of a path decides, and an ignored folder hides what is in it."""
     parts = F.split("path", "/")
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("p"), (i == F.size(parts)).alias("leaf"))))
-    x = paths.select("path", prefix.alias("x")).select("path", "x.*")
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     verdict: Column = F.lit(False)
-    for pattern, negated in rules:
-        hit = F.col("p").rlike(_ignore_regex(pattern))
-        if pattern.endswith("/"):
-            hit = hit & ~F.col("leaf")
-        verdict = F.when(hit, not negated).otherwise(verdict)
-    return x.groupBy("path").agg(F.bool_or(verdict).alias("ignored"))
+    for pattern, negated, folder in rules:
+        verdict = F.when(_rule_hits(F.col("p"), pattern, folder), not negated).otherwise(verdict)
+    return paths.select("path", prefix.alias("p")).groupBy("path").agg(F.bool_or(verdict).alias("ignored"))
+
+
+def allowed(paths: DataFrame, rules: list[tuple[str, bool, str]]) -> DataFrame:
+    """(path, allowed): whether any rule of an allow file speaks of a path."""
+    hit: Column = F.lit(False)
+    for pattern, _, folder in rules:
+        hit = hit | _rule_hits(F.col("path"), pattern, folder)
+    return paths.select("path", hit.alias("allowed"))
+
+
+#: Sizes beyond which a corpus is called large, and words below which a graph hardly pays.
+MANY_FILES, MANY_WORDS, FEW_WORDS = 200, 500_000, 50_000
+
+
+def scan(files: DataFrame, ignore: list[tuple[str, bool, str]], allow: list[tuple[str, bool, str]] = ()) -> DataFrame:
+    """(path, kind, words) of the files (path, content) a corpus consists of.
+
+    Noise folders, ignored paths, sensitive names and kinds that nothing reads are left out;
+    an allow file brings paths in hidden folders back.
+    """
+    hidden = F.exists(F.split("path", "/"), lambda x: x.startswith("."))
+    out = files.withColumns({"kind": classify(F.col("path"), F.col("content")), "words": word_count(F.col("content"))})
+    out = out.join(ignored(files.select("path"), ignore), "path").join(allowed(files.select("path"), list(allow)), "path")
+    keep = ~in_noise(F.col("path")) & ~F.col("ignored") & ~is_sensitive(F.col("path")) & F.col("kind").isNotNull() & (~hidden | F.col("allowed"))
+    return out.filter(keep).select("path", "kind", "words")
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """One row: files, words, needs_graph, and large for a corpus beyond the usual size."""
+    total = found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    return total.select("files", "words", (F.col("words") >= FEW_WORDS).alias("needs_graph"), ((F.col("files") >= MANY_FILES) | (F.col("words") >= MANY_WORDS)).alias("large"))
 
 
 def incremental_diff(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import base_name
@@ -33,6 +33,36 @@ def status(base: str, today: str) -> Column:
     )
 
 
+def open_requests(snapshot: DataFrame, base: str = "main") -> DataFrame:
+    """Requests of a snapshot, as hosting services list them in JSON: number, title, headRefName, baseRefName, author.login,
+    isDraft, reviewDecision, statusCheckRollup (conclusion and status) and updatedAt."""
+    checks = lambda field: F.transform(F.coalesce("statusCheckRollup", F.array().cast(snapshot.schema["statusCheckRollup"].dataType)), lambda x: x[field])
+    return snapshot.select(
+        "number",
+        "title",
+        F.col("headRefName").alias("branch"),
+        F.col("baseRefName").alias("base_branch"),
+        F.coalesce("author.login", F.lit("?")).alias("author"),
+        F.coalesce("isDraft", F.lit(False)).alias("is_draft"),
+        F.coalesce("reviewDecision", F.lit("")).alias("review_decision"),
+        ci_status(checks("conclusion"), checks("status")).alias("ci_status"),
+        F.to_date("updatedAt").alias("updated_on"),
+        F.lit(base).alias("expected_base"),
+    )
+
+
+def read_requests(spark: SparkSession, path: str, base: str = "main") -> DataFrame:
+    """``open_requests`` of JSON files."""
+    fields = "number long, title string, headRefName string, baseRefName string, author struct<login: string>, isDraft boolean, reviewDecision string, statusCheckRollup array<struct<conclusion: string, status: string>>, updatedAt timestamp"
+    return open_requests(spark.read.schema(fields).option("multiLine", True).json(path), base)
+
+
+def in_order(requests: DataFrame, base: str, today: str) -> DataFrame:
+    """Requests with ``status`` and ``place``: the order of a dashboard, those longest without a change first."""
+    rank = F.array_position(F.array(*(F.lit(x) for x in STATUSES)), F.col("status"))
+    return requests.withColumn("status", status(base, today)).withColumn("place", rank).orderBy("place", "updated_on", "number")
+
+
 def impact(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(number, communities, nodes) touched by the files (number, file) of each request.
 

@@ -5,7 +5,7 @@ The driver only loops over levels; frontiers and visited sets stay tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import IMPACT_RELATIONS
@@ -181,8 +181,8 @@ def pivots(neighbors: DataFrame, exact: int = 1000, sample: int = 100) -> DataFr
     return ids if ids.limit(exact + 1).count() <= exact else ids.orderBy(F.xxhash64("id"), "id").limit(sample)
 
 
-def betweenness(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(id, score): shortest-path betweenness accumulated from the given pivots.
+def _flows(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(pivot, id, child, flow): what the shortest paths from a pivot carry over the edge from a node to its child.
 
     Brandes' two sweeps as joins: levels and path counts forward, dependencies backward.
     All pivots advance together, keyed by pivot.
@@ -198,12 +198,32 @@ def betweenness(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
             break
         seen = seen.unionByName(new)
         level += 1
-    carried = seen.filter(F.col("level") == level).select("pivot", "id", F.lit(0.0).alias("dep"))
-    total = carried
+    total = seen.select("pivot", "id", F.col("id").alias("child"), F.lit(0.0).alias("flow")).limit(0)
+    carried = total.select("pivot", "id", F.col("flow").alias("dep"))
     for up in range(level, 0, -1):
         low = seen.filter(F.col("level") == up).join(carried, ["pivot", "id"], "left").select("pivot", F.col("id").alias("child"), ((1 + F.coalesce("dep", F.lit(0.0))) / F.col("paths")).alias("each"))
-        give = low.join(nb, F.col("child") == F.col("other")).select("pivot", "id", "each")
+        give = low.join(nb, F.col("child") == F.col("other")).select("pivot", "id", "child", "each")
         above = seen.filter(F.col("level") == up - 1)
-        carried = stored(above.join(give, ["pivot", "id"]).groupBy("pivot", "id", "paths").agg(F.sum("each").alias("s")).select("pivot", "id", (F.col("s") * F.col("paths")).alias("dep")), "between")
-        total = total.unionByName(carried)
-    return total.filter("id <> pivot").groupBy("id").agg(F.round(F.sum("dep"), 6).alias("score"))
+        flow = stored(above.join(give, ["pivot", "id"]).select("pivot", "id", "child", (F.col("each") * F.col("paths")).alias("flow")), "between")
+        carried = flow.groupBy("pivot", "id").agg(F.sum("flow").alias("dep"))
+        total = total.unionByName(flow)
+    return total
+
+
+def betweenness(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(id, score): shortest-path betweenness accumulated from the given pivots; ends of paths score too, with 0."""
+    flows = _flows(neighbors, pivots)
+    ends = flows.filter("id <> child").select(F.col("child").alias("id"), "pivot", F.lit(0.0).alias("flow"))
+    return flows.select("id", "pivot", "flow").union(ends).filter("id <> pivot").groupBy("id").agg(F.round(F.sum("flow"), 6).alias("score"))
+
+
+def edge_betweenness(neighbors: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(lo, hi, score): the same for edges, whichever way the paths go."""
+    f = _flows(neighbors, pivots)
+    return f.groupBy(F.least("id", "child").alias("lo"), F.greatest("id", "child").alias("hi")).agg(F.round(F.sum("flow"), 6).alias("score"))
+
+
+def ranked_cycles(cycles: DataFrame, top: int = 20) -> DataFrame:
+    """(rank, length, cycle) of the shortest cycles, ties by their text."""
+    first = cycles.orderBy("length", "cycle").limit(top)
+    return first.select(F.row_number().over(Window.orderBy("length", "cycle")).alias("rank"), "length", "cycle")  # ``top`` rows

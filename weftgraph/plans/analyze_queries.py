@@ -109,16 +109,20 @@ def _(c):
 
 @query("suggested_questions", f"""
 WITH q1 AS (SELECT 1 AS family, src || '|' || dst AS o, 'What is the exact relationship between `' || a.label || '` and `' || b.label || '`?' AS question FROM simple JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE confidence = 'AMBIGUOUS' ORDER BY src, dst LIMIT 7),
+b AS (SELECT id, label, community, degree FROM rich WHERE NOT is_file AND NOT is_concept AND degree > 0 ORDER BY degree DESC, id LIMIT 3),
+bq AS (SELECT 2, lpad(CAST(CAST(1000000000000 - degree AS DECIMAL(20, 6)) AS VARCHAR), 24, '0') || id, 'Why does `' || label || '` connect `Community ' || community || '` to ' || (SELECT string_agg('`Community ' || oc || '`', ', ' ORDER BY oc) FROM (SELECT DISTINCT n.community AS oc FROM nbr JOIN nodes n ON n.id = other WHERE nbr.id = b.id AND n.community <> b.community)) || '?' AS question FROM b),
 h AS (SELECT id, label, degree FROM rich WHERE NOT is_file ORDER BY degree DESC, id LIMIT 5),
 q2 AS (SELECT 3, lpad(CAST(1000000000 - degree AS VARCHAR), 12, '0') || id, 'Are the ' || count(*) || ' inferred relationships involving `' || label || '` actually correct?' FROM nbr JOIN h USING (id) WHERE confidence = 'INFERRED' GROUP BY id, label, degree HAVING count(*) >= 2),
 w AS (SELECT count(*) AS n, arg_min(label, id) AS l FROM rich WHERE degree <= 1 AND NOT is_file AND NOT is_concept),
 co AS ({_COHESION}),
-q AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT 4, '', 'What connects `' || l || '` and ' || (n - 1) || ' more to the rest of the system?' FROM w WHERE n > 0
+q AS (SELECT * FROM q1 UNION ALL SELECT * FROM bq WHERE question IS NOT NULL UNION ALL SELECT * FROM q2 UNION ALL SELECT 4, '', 'What connects `' || l || '` and ' || (n - 1) || ' more to the rest of the system?' FROM w WHERE n > 0
  UNION ALL SELECT 5, lpad(CAST(community AS VARCHAR), 12, '0'), 'Should `Community ' || community || '` be split into smaller, more focused modules?' FROM co WHERE cohesion < 0.15 AND size >= 5)
 SELECT family, question FROM q ORDER BY family, o LIMIT 7""", "nodes", "simple", "rich", "nbr")
 def _(c):
+    """Degrees stand in for betweenness, which SQL can't express; all rows are read."""
     s = simple(c)
-    return analyze.suggested_questions(rich(c, s), s)
+    r = rich(c, s)
+    return analyze.suggested_questions(r, s, between=r.select("id", F.col("degree").alias("score")))
 
 
 @query("dominant_confidence", "SELECT id, confidence FROM (SELECT id, confidence, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, confidence) AS r FROM nbr GROUP BY id, confidence) WHERE r = 1", "nbr")

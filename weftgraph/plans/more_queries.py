@@ -13,8 +13,8 @@ _RANK = "CAST(regexp_matches(id, '_c[0-9]+$') AS INT), length(id), id"
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split(k, '')), lambda c: -(len(list_filter(string_split(k, ''), lambda x: x = c)) / len(k)) * log2(len(list_filter(string_split(k, ''), lambda x: x = c)) / len(k))))"
 _SHINGLES = "list_distinct(CASE WHEN length(replace(k, ' ', '')) < 3 THEN [replace(k, ' ', '')] ELSE list_transform(generate_series(1, length(replace(k, ' ', '')) - 2), lambda i: substr(replace(k, ' ', ''), i, 3)) END)"
 
-# labels with typing mistakes, so that there is something to merge
-TYPOS = "SELECT id, CASE WHEN id LIKE 'part:%3' THEN replace(label, 'e', 'ee') WHEN id LIKE 'part:%5' THEN upper(label) WHEN id LIKE 'part:%7' THEN replace(label, 'a', '') WHEN id LIKE 'nation:%' THEN label || ' land' ELSE label END AS label, file_type, source_file FROM nodes WHERE id LIKE 'part:%' OR id LIKE 'nation:%' OR id LIKE 'region:%'"
+# labels with typing mistakes, so that there is something to merge; labels that are mere numbers become words of their own
+TYPOS = "SELECT id, CASE WHEN id LIKE 'part:%3' THEN replace(label, 'e', 'ee') WHEN id LIKE 'part:%5' THEN upper(label) WHEN id LIKE 'part:%7' THEN replace(label, 'a', '') WHEN id LIKE 'nation:%' THEN label || ' land' WHEN id LIKE 'part:%' OR id LIKE 'region:%' THEN label WHEN id LIKE '%9' THEN substr(base64(unhex(md5(id))), 1, 15) || ' ' || substr(base64(unhex(md5(id))), 16, 1) ELSE substr(base64(unhex(md5(id))), 1, 16) END AS label, file_type, source_file FROM nodes"
 
 
 def _typos(c):
@@ -43,8 +43,12 @@ def _(c):
     return c.nodes.select(dedup_key(F.col("label")).alias("key")).distinct().select("key", F.round(dedup.entropy(F.col("key")), 8).alias("entropy"))
 
 
-_PAIRS = f"""d AS (SELECT DISTINCT {_KEY} AS k FROM ({TYPOS})), s AS (SELECT k, {_SHINGLES} AS s, {_ENTROPY} AS h FROM d),
-p AS (SELECT a.k AS a, b.k AS b, a.h AS ha, b.h AS hb, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j, jaro_winkler_similarity(a.k, b.k) * 100 AS jw FROM s a JOIN s b ON a.k < b.k)"""
+# pairs that share no shingle have none of the least overlaps asked for
+_PAIRS = f"""d AS (SELECT DISTINCT {_KEY} AS k FROM ({TYPOS})), s AS (SELECT k, {_SHINGLES} AS s, {_ENTROPY} AS h FROM d), x AS (SELECT k, len(s) AS n, h, unnest(s) AS e FROM s),
+c AS (SELECT a.k AS a, b.k AS b, any_value(a.h) AS ha, any_value(b.h) AS hb, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM x a JOIN x b ON a.e = b.e AND a.k < b.k GROUP BY a.k, b.k),
+p AS (SELECT *, jaro_winkler_similarity(a, b) * 100 AS jw FROM c WHERE j >= 0.5)"""
+_VARIANT = "(greatest(length(a), length(b)) < 12 AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) <> '' AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) = regexp_extract(b, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) <> regexp_extract(b, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2))"
+_ALLOWED = "(greatest(length(a), length(b)) >= 12 OR (jw >= 97 AND length(a) = length(b) AND damerau_levenshtein(a, b) <= 1))"
 _FUZZY = f"""WITH {_PAIRS}, f AS (SELECT a, b, round(jw, 4) AS score FROM p WHERE ha >= 2.5 AND hb >= 2.5 AND j >= 0.7 AND jw >= 92
  AND NOT (greatest(length(a), length(b)) < 12 AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 1) <> '' AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 1) = regexp_extract(b, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 1) AND regexp_extract(a, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 2) <> regexp_extract(b, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{{2,}})$', 2))
  AND (greatest(length(a), length(b)) >= 12 OR (jw >= 97 AND length(a) = length(b) AND damerau_levenshtein(a, b) <= 1)))"""
@@ -55,7 +59,7 @@ def _(c):
     return dedup.fuzzy_pairs(_typos(c))
 
 
-@query("ambiguous_pairs", f"WITH {_PAIRS} SELECT a, b, round(jw, 4) AS score FROM p WHERE j >= 0.5 AND jw >= 75 AND jw < 92", "nodes")
+@query("ambiguous_pairs", f"WITH {_PAIRS} SELECT a, b, round(jw, 4) AS score FROM p WHERE j >= 0.5 AND jw >= 75 AND jw < 92 AND NOT {_VARIANT} AND {_ALLOWED}", "nodes")
 def _(c):
     return dedup.ambiguous_pairs(_typos(c))
 
@@ -154,7 +158,7 @@ def _(c):
     return c.prs.groupBy(prs.status("main", TODAY).alias("status")).agg(F.count(F.lit(1)).alias("prs"))
 
 
-CHANGED = "SELECT l_orderkey AS number, CASE l_linenumber % 3 WHEN 0 THEN 'part_' || (l_partkey % 50) || '.pdf' WHEN 1 THEN 'repo/catalog/part_' || (l_partkey % 50) || '.pdf' ELSE 'other/part_' || (l_partkey % 50) || '.pdf' END AS file FROM {lineitem} WHERE l_orderkey % 7 = 0"
+CHANGED = "SELECT l_orderkey AS number, CASE l_linenumber % 3 WHEN 0 THEN 'part_' || (l_partkey % 50) || '.pdf' WHEN 1 THEN 'repo/catalog/part_' || (l_partkey % 50) || '.pdf' ELSE 'other/part_' || (l_partkey % 50) || '.pdf' END AS file FROM {lineitem}"
 
 
 @query("pr_impact", """

@@ -121,9 +121,11 @@ def _(c):
     return traverse.shortest_path(nb, "region:1", target or "region:1")
 
 
-# a small import graph between 30 files
-IMPORTS_NODES = "SELECT DISTINCT 'm' || (o_custkey % 30) AS id, 'src/m' || (o_custkey % 30) || '.py' AS source_file FROM {orders} UNION SELECT DISTINCT 'm' || (o_orderkey % 30), 'src/m' || (o_orderkey % 30) || '.py' FROM {orders}"
-IMPORTS = "SELECT DISTINCT 'm' || (o_custkey % 30) AS src, 'm' || (o_orderkey % 30) AS dst, 'imports_from' AS relation, 'src/m' || (o_custkey % 30) || '.py' AS source_file FROM {orders} WHERE o_orderkey % 17 = 3 AND o_custkey % 7 < 2 AND o_orderkey < 1500"
+# every order as an import between the files of two customers, apart by state so that cycles stay listable
+_TO = "'m' || (o_orderkey * 13 % (SELECT max(c_custkey) FROM {customer}) + 1) || '_' || o_orderstatus"
+_FROM = "'m' || o_custkey || '_' || o_orderstatus"
+IMPORTS_NODES = f"SELECT DISTINCT {_FROM} AS id, 'src/' || {_FROM} || '.py' AS source_file FROM {{orders}} UNION SELECT DISTINCT {_TO}, 'src/' || {_TO} || '.py' FROM {{orders}}"
+IMPORTS = f"SELECT DISTINCT {_FROM} AS src, {_TO} AS dst, 'imports_from' AS relation, 'src/' || {_FROM} || '.py' AS source_file FROM {{orders}}"
 
 
 def _sql(text):
@@ -132,13 +134,23 @@ def _sql(text):
     return for_duckdb(text)
 
 
-@query("import_cycles", f"""
+_CYCLES = f"""
 WITH e AS (SELECT DISTINCT 'src/' || src || '.py' AS src, 'src/' || dst || '.py' AS dst FROM ({_sql(IMPORTS)})),
-p2 AS (SELECT src AS a, dst AS b FROM e WHERE src < dst), p3 AS (SELECT a, b, dst AS c FROM p2 JOIN e ON src = b WHERE dst > a AND dst <> b), p4 AS (SELECT a, b, c, dst AS d FROM p3 JOIN e ON src = c WHERE dst > a AND dst NOT IN (b, c))
-SELECT CAST(1 AS INTEGER) AS length, src AS cycle FROM e WHERE src = dst UNION ALL SELECT 2, a || ' -> ' || b FROM p2 JOIN e ON src = b AND dst = a
-UNION ALL SELECT 3, a || ' -> ' || b || ' -> ' || c FROM p3 JOIN e ON src = c AND dst = a UNION ALL SELECT 4, a || ' -> ' || b || ' -> ' || c || ' -> ' || d FROM p4 JOIN e ON src = d AND dst = a""")
+p2 AS (SELECT src AS a, dst AS b FROM e WHERE src < dst), p3 AS (SELECT a, b, dst AS c FROM p2 JOIN e ON src = b WHERE dst > a AND dst <> b), p4 AS (SELECT a, b, c, dst AS d FROM p3 JOIN e ON src = c WHERE dst > a AND dst NOT IN (b, c)),
+p5 AS (SELECT a, b, c, d, dst AS f FROM p4 JOIN e ON src = d WHERE dst > a AND dst NOT IN (b, c, d)),
+cy AS (SELECT CAST(1 AS INTEGER) AS length, src AS cycle FROM e WHERE src = dst UNION ALL SELECT 2, a || ' -> ' || b FROM p2 JOIN e ON src = b AND dst = a
+UNION ALL SELECT 3, a || ' -> ' || b || ' -> ' || c FROM p3 JOIN e ON src = c AND dst = a UNION ALL SELECT 4, a || ' -> ' || b || ' -> ' || c || ' -> ' || d FROM p4 JOIN e ON src = d AND dst = a
+UNION ALL SELECT 5, a || ' -> ' || b || ' -> ' || c || ' -> ' || d || ' -> ' || f FROM p5 JOIN e ON src = f AND dst = a)"""
+
+
+@query("import_cycles", _CYCLES + " SELECT * FROM cy")
+def _(c):
+    return traverse.import_cycles(traverse.import_edges(c.sql(IMPORTS_NODES), c.sql(IMPORTS)))
+
+
+@query("import_cycle_ranks", _CYCLES + " SELECT CAST(row_number() OVER (ORDER BY length, cycle) AS INTEGER) AS rank, length, cycle FROM cy ORDER BY length, cycle LIMIT 20")
 def _(c):
-    return traverse.import_cycles(traverse.import_edges(c.sql(IMPORTS_NODES), c.sql(IMPORTS)), longest=4)
+    return traverse.ranked_cycles(traverse.import_cycles(traverse.import_edges(c.sql(IMPORTS_NODES), c.sql(IMPORTS))))
 
 
 LINKS = "SELECT 'mod' || (p_partkey % 97) || '.name' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'decl.' || p_partkey ELSE 'mod' || ((p_partkey * 7 % 2000 + 1) % 97) || '.name' || (p_partkey * 7 % 2000 + 1) END AS target FROM {part}"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,27 @@ def current(spark, path: str) -> DataFrame:
     return spark.read.parquet(spark.read.text(f"{path}/current").first()[0])
 
 
+def queue_pending(paths: DataFrame, folder: str) -> None:
+    """Appends changed paths (ord, path) to a queue that any number of writers share."""
+    paths.select("ord", "path").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/pending")
+
+
+def drain_pending(spark, folder: str) -> DataFrame:
+    """(ord, path) of the queue, each path once, in the order of its first coming; blank ones go.
+
+    The queue is moved aside before it is read, so what comes later waits for the next drain.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    queue, aside = hadoop(f"{folder}/pending"), f"{folder}/drained-{uuid.uuid4().hex}"
+    fs = queue.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    schema = "ord long, path string, at timestamp"
+    if not fs.exists(queue) or not fs.rename(queue, hadoop(aside)):
+        return spark.createDataFrame([], schema).select("ord", "path")
+    rows = spark.read.schema(schema).parquet(aside).withColumn("path", F.trim("path")).filter("path <> ''")
+    first = rows.groupBy("path").agg(F.min(F.struct("at", "ord")).alias("first"))
+    return first.select((F.row_number().over(Window.orderBy("first", "path")) - 1).cast("long").alias("ord"), "path")  # one drain's changes
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Extension: (started, event_type, events, total) in tumbling or sliding windows."""
     e = events.withWatermark("ts", watermark) if events.isStreaming else events
