@@ -96,9 +96,21 @@ def test_counts_of_large_corpora_do_not_saturate():
     opened = E.BigramTrie.from_buffer(shard.to_bytes())
     for t in (shard, opened):
         total, code = t.lookup(c[:1], np.array([3]), s)
-        share = E.dequantise(lm._unpack_codes(lm._pack_codes(code)))
+        share = E.dequantise(lm._unpack_codes(lm._pack_codes(code, total, np.array([3])), total, np.array([3])))
         assert total.tolist() == [53_500_003] and np.abs(share * total / [3, 3_500_000, 50_000_000] - 1).max() < 1e-3
-    assert not len(lm._unpack_codes(lm._pack_codes(np.zeros(0, np.uint16))))
+    none = np.zeros(0, np.int64)
+    assert not len(lm._unpack_codes(lm._pack_codes(none, none, none), none, none))
+
+
+def test_packed_codes_round_trip():
+    rng = np.random.default_rng(11)
+    runs, n = np.array([1, 5, 300]), rng.integers(1, 10**6, 306)
+    total = np.add.reduceat(n, [0, 1, 6])
+    code = E.quantise(n / np.repeat(total, runs))
+    code[::7] = 0
+    raw = lm._pack_codes(code, total, runs)
+    assert (lm._unpack_codes(raw, total, runs) == code).all()
+    assert (lm._from_planes(lm._planes(total, "<i8"), "<i8") == total).all()
 
 
 def test_distributions_are_normalised():

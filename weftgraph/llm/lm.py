@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import crc_mod, table
-from .eliasfano import BigramTrie, dequantise
+from .eliasfano import BigramTrie, dequantise, quantise
 from .exchange import blob, bucket_slices, chunk_words, chunked, column, in_order
 
 #: Hashes of the end token and of the context at the start of a text.
@@ -77,13 +77,27 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pack_codes(x: np.ndarray) -> bytes:
-    """The low bytes, then the high ones, which are nearly all 0 and compress away."""
-    return blob(np.ascontiguousarray(x.astype("<u2").view(np.uint8).reshape(-1, 2).T))
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """The lowest bytes of all numbers first, the highest last, which are nearly all 0 and compress away."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return blob(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T))
 
 
-def _unpack_codes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_codes(code: np.ndarray, total: np.ndarray, runs: np.ndarray) -> bytes:
+    """Codes as steps above that of a single occurrence in the context, so most are 1; 0 stays 0."""
+    one = np.repeat(quantise(1 / np.maximum(total, 1)).astype(np.int64), runs)
+    return _planes(np.where(code > 0, 1 + one - code, 0), "<u2")
+
+
+def _unpack_codes(raw: bytes, total: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    steps = _from_planes(raw, "<u2").astype(np.int64)
+    one = np.repeat(quantise(1 / np.maximum(total, 1)).astype(np.int64), runs)
+    return np.where(steps > 0, 1 + one - steps, 0).astype(np.uint16)
 
 
 def build_shard(context: list[np.ndarray], successor: list[np.ndarray], count: list[np.ndarray]) -> BigramTrie:
@@ -151,8 +165,8 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
             shard = shard.mapped()
             for c, r, x in zip(ctx, runs, suc, strict=True):
                 part, code = shard.lookup(c, r, x)
-                out.append(_pack_codes(code))
-                parts.append(blob(part))
+                out.append(_pack_codes(code, part, r))
+                parts.append(_planes(part, "<i8"))
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "kind": t.column("kind"), "a": tk.binary_array(out), "b": tk.binary_array(parts or [b""] * len(out))})
 
     answers = sent.groupBy("kind", "bucket").applyInArrow(answer, "chunk int, bucket int, kind int, a binary, b binary")
@@ -188,9 +202,10 @@ def score_texts(docs: DataFrame, is_training, id_col: str = "doc_id", text_col:
                 count[cut1[b] : cut1[b + 1]] = np.frombuffer(raw, np.int64)
             elif kind == 1:
                 lo, hi = cut2[b], cut2[b + 1]
-                code[lo:hi] = _unpack_codes(raw)
-                runs = np.cumsum(np.append(0, c[lo + 1 : hi] != c[lo : hi - 1]))
-                part[lo:hi] = np.frombuffer(sums, np.int64)[runs]
+                total = _from_planes(sums, "<i8")
+                runs = np.diff(np.concatenate([[lo], lo + 1 + np.flatnonzero(c[lo + 1 : hi] != c[lo : hi - 1]), [hi]]))
+                code[lo:hi] = _unpack_codes(raw, total, runs)
+                part[lo:hi] = np.repeat(total, runs)
             else:
                 n, v = (int(x) for x in np.frombuffer(raw, ">i8"))
         unigram = (count + 0.5) / (n + 0.5 * (v + 1))
