@@ -12,7 +12,7 @@ those within a wide radius of the pivot are found by their differences to it: fo
 small enough, x and y must share so many of these that the rarest ones of each (a prefix,
 with the position of the shared one bounding what can follow) decide whether they are
 compared at all.  Differences are mostly edits of one text, so few pairs meet.  Members
-far within the radius are done then; the rest meets more pivots once.  What no
+far within the radius are done then; the rest meets many times as many pivots in each of a few rounds.  What no
 pivot settles is joined by the prefixes of the full sets, which is exact whatever the
 bucket looks like.  A bucket is also done once it lies in one component.
 
@@ -135,10 +135,10 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 PAIRS = 256
 #: Members of a group that one task gets for each of its groups.
 MEMBERS = 256
-#: Pivots of a bucket in the second round, on average.
+#: Pivots of a bucket grow by this factor each round.
 GROWTH = 16
 #: Rounds with pivots, before the rest is joined by its sets.
-ROUNDS = 2
+ROUNDS = 4
 #: Radius around a pivot, in units of the difference that two linked sets of its size may have.
 RADIUS = 4
 
@@ -299,7 +299,7 @@ def linked_classes(classes: DataFrame, sets_of, per_cent: int) -> DataFrame | No
         else:
             central = live.groupBy("rep").agg(F.sum("members").alias("central"))
             lead = live.join(central, "rep").groupBy("key").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).getField("rep").alias("pivot"), F.max("members").alias("members"))
-        # beside the lead, others by chance in the second round
+        # beside the lead, others by chance: none at first, then many times as many each round
         chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) < F.lit(float(GROWTH**turn - 1)) / F.col("members")
         pivots = stored(lead.union(live.filter(chance).select("key", "rep", "members")).distinct() if turn else lead, "pivots")
         parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / (16 * MEMBERS)).cast("int") - 1))
