@@ -224,11 +224,22 @@ def _with_comp(df: DataFrame, label: DataFrame | None, node: str) -> DataFrame:
     return df.join(label.select(F.col("node").alias(node), "root"), node, "left").withColumn("comp", F.coalesce("root", node)).drop("root")
 
 
+def needed(hits: DataFrame) -> DataFrame:
+    """Pivots (a), of which each row (key, rep) of ``hits`` (key, pivot, rep) has one.
+
+    A rep that is settled in a ball meets all its partners there, so one ball settles it; the same few serve most reps, as the
+    one with the most rows is taken.
+    """
+    size = hits.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    best = F.max(F.struct("size", F.xxhash64("pivot").alias("h"), "pivot")).getField("pivot")
+    return hits.join(size, "pivot").groupBy("key", "rep").agg(best.alias("a")).select("a").distinct()
+
+
 def beside(balls: DataFrame, label: DataFrame | None, per_cent: int) -> DataFrame:
-    """Pairs within the radius of one pivot, at least one of them not linked to it, that may be linked."""
+    """Pairs within the radius of one pivot, of two components, that may be linked."""
     share = (100 - per_cent) / (100 + per_cent)
     d = balls.filter("delta IS NOT NULL").withColumn("d", F.size("delta")).withColumn("salt", _salt("m", "b"))
-    open_ = d.groupBy("a").agg(F.max("m").alias("m"), F.min("linked").alias("all")).filter("NOT all")
+    open_ = _with_comp(d.select("a", "m", "b"), label, "b").groupBy("a").agg(F.max("m").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / MEMBERS).cast("int") - 1)).alias("salt")
     d = d.join(open_.select("a", parts), ["a", "salt"], "left_semi")
     # the least overlap with any set that isn't linked to the pivot, and with any set at all
@@ -305,15 +316,18 @@ def linked_classes(classes: DataFrame, sets_of, per_cent: int) -> DataFrame | No
         parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / (16 * MEMBERS)).cast("int") - 1))
         met = live.withColumn("salt", _salt("members", "rep", 16 * MEMBERS)).join(pivots.select("key", "pivot", parts.alias("salt")), ["key", "salt"]).filter("rep <> pivot")
         balls = stored(compared(met.groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.max("members").alias("m")), sets, per_cent), "balls")
-        near = beside(balls, label, per_cent)
-        found = balls.filter("linked").select("a", "b")
-        if not near.isEmpty():
-            found = found.union(compared(near, sets, per_cent).filter("linked").select("a", "b"))
-        links = stored(found, "links")
+        # links to pivots come first, as what they join need not meet again
+        links = stored(balls.filter("linked").select("a", "b"), "links")
         label = merged(label, links)
-        done = met.join(balls.filter("settled").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"]).select("key", "rep").union(pivots.select("key", "pivot")).distinct()
+        hits = stored(met.join(balls.filter("settled").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"]).select("key", "pivot", "rep"), "hits")
+        near = beside(balls.join(needed(hits), "a", "left_semi"), label, per_cent)
+        if not near.isEmpty():
+            more = stored(compared(near, sets, per_cent).filter("linked").select("a", "b"), "links")
+            label = merged(label, more)
+            discard(more)
+        done = hits.select("key", "rep").union(pivots.select("key", "pivot")).distinct()
         rest = stored(live.select("key", "rep").join(done, ["key", "rep"], "left_anti"), "buckets")
-        discard(bucket, live, pivots, balls, near, links)
+        discard(bucket, live, pivots, balls, hits, near, links)
         bucket = rest
     discard(bucket, sets)
     return label
