@@ -4,7 +4,9 @@ import datetime
 
 import pytest
 
-from weftgraph.operators import build, traverse
+from pyspark.sql import functions as F
+
+from weftgraph.operators import build, overlap, traverse
 from weftgraph.plans.catalog import QUERIES
 
 
@@ -40,3 +42,50 @@ def test_shortest_path_with_repeated_pairs(spark, front, monkeypatch):
     nb = spark.createDataFrame([p for a, b in one for p in ((a, b), (b, a))] * 2, "id string, other string")
     path = lambda *a: [r["id"] for r in traverse.shortest_path(nb, *a).orderBy("step").collect()]
     assert path("a", "e") == ["a", "b", "d", "e"] and path("a", "a") == ["a"] and path("a", "x") == [] and path("a", "e", 2) == []
+
+
+def _grams(key):
+    bare = key.replace(" ", "")
+    return {bare[i : i + 3] for i in range(len(bare) - 2)} or {bare}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.55, 0.7, 1.0])
+def test_overlaps_like_brute_force(spark, least):
+    import random
+
+    r = random.Random(5)
+    keys = {"".join(r.choice("abé ") for _ in range(r.randint(1, 12))).strip() for _ in range(150)} | {"x", "xy", "x y", "long shared key one", "long shared key two", "\U0001f600ab", "\U0001f600abc"}
+    keys = sorted(keys - {""})
+    want = {}
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = _grams(a), _grams(b)
+            if (j := len(x & y) / len(x | y)) >= least:
+                want[a, b] = j
+    got = overlap.similar_pairs(spark.createDataFrame([(k,) for k in keys], "key string").repartition(3), least).collect()
+    assert {(x["a"], x["b"]): x["overlap"] for x in got} == want and len(got) == len(want) > 0
+
+
+def _random_keys(spark, n):
+    import random
+
+    r = random.Random(7)
+    return spark.createDataFrame([("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(16)),) for _ in range(n)], "key string")
+
+
+@pytest.mark.parametrize("least,most", [(0.7, 50), (0.5, 200)])
+def test_random_keys_are_few_candidates(spark, least, most):
+    """A prefix of single shingles meets in thousands of the 4.5 million pairs."""
+    from weftgraph.store import stored
+
+    keys = stored(_random_keys(spark, 3000).select(F.monotonically_increasing_id().alias("ref"), "key"), "test")
+    assert overlap.candidates(keys, 3000, least).count() <= most
+
+
+def test_hot_signatures_are_sliced(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(overlap, "CANDIDATES", 10)
+    ref, sig = np.arange(9), np.zeros(9, np.uint64)
+    got = [(a, b) for x in overlap._matches((sig, ref), (sig, ref)) for a, b in zip(*(y.tolist() for y in x), strict=True)]
+    assert set(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
