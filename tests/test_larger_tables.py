@@ -89,3 +89,31 @@ def test_hot_signatures_are_sliced(monkeypatch):
     ref, sig = np.arange(9), np.zeros(9, np.uint64)
     got = [(a, b) for x in overlap._matches((sig, ref), (sig, ref)) for a, b in zip(*(y.tolist() for y in x), strict=True)]
     assert set(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+
+
+def _random_pairs(spark, nodes, pairs):
+    import random
+
+    r = random.Random(11)
+    some = {tuple(sorted(r.sample(range(nodes), 2))) for _ in range(pairs)} | {(0, 0)}
+    return spark.createDataFrame([tuple(sorted((f"n{a}", f"n{b}"))) for a, b in some], "lo string, hi string")
+
+
+def test_packed_communities_like_joins(spark, monkeypatch):
+    from weftgraph.operators import cluster, packed
+
+    pairs = _random_pairs(spark, 60, 110)
+    found = [{r["id"]: r["community"] for r in cluster.communities(pairs, levels=2, sweeps=4).collect()}]
+    monkeypatch.setattr(packed, "NODES", 0)
+    found.append({r["id"]: r["community"] for r in cluster.communities(pairs, levels=2, sweeps=4).collect()})
+    assert found[0] == found[1] and len(found[0]) > len(set(found[0].values())) > 1
+
+
+def test_communities_are_not_joined(spark, monkeypatch):
+    from weftgraph.operators import cluster
+
+    def joined(*_):
+        raise AssertionError("a sweep by joins shuffles every edge")
+
+    monkeypatch.setattr(cluster, "_level", joined)
+    assert cluster.communities(_random_pairs(spark, 20, 30)).select("id").distinct().count() > 10
