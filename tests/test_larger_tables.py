@@ -117,3 +117,27 @@ def test_communities_are_not_joined(spark, monkeypatch):
 
     monkeypatch.setattr(cluster, "_level", joined)
     assert cluster.communities(_random_pairs(spark, 20, 30)).select("id").distinct().count() > 10
+
+
+@pytest.mark.parametrize("slices", [2_000_000, 3])
+def test_packed_betweenness_like_joins(spark, monkeypatch, slices):
+    pairs = _random_pairs(spark, 30, 45)
+    nb = pairs.selectExpr("lo AS id", "hi AS other").union(pairs.selectExpr("hi", "lo"))
+    some = spark.createDataFrame([("n1",), ("n2",), ("n3",), ("none",)], "id string")
+    score = lambda: {r["id"]: r["score"] for r in traverse.betweenness(nb, some).collect()}
+    want = score() if slices == 3 else None
+    monkeypatch.setattr(traverse, "SLICE", slices)
+    got = score()
+    if want is None:
+        monkeypatch.setattr(traverse, "EDGES", 0)
+        want = score()
+    assert got == pytest.approx(want, abs=1e-5) and len(got) > 10 and max(got.values()) > 0
+
+
+def test_betweenness_is_not_joined(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("every pivot's nodes would be shuffled at each level")
+
+    monkeypatch.setattr(traverse, "_flows", joined)
+    nb = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "id string, other string")
+    assert {r["id"]: r["score"] for r in traverse.betweenness(nb, nb.select("id").distinct()).collect()} == {"a": 0.0, "b": 2.0, "c": 0.0}
