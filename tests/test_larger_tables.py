@@ -141,3 +141,23 @@ def test_betweenness_is_not_joined(spark, monkeypatch):
     monkeypatch.setattr(traverse, "_flows", joined)
     nb = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "id string, other string")
     assert {r["id"]: r["score"] for r in traverse.betweenness(nb, nb.select("id").distinct()).collect()} == {"a": 0.0, "b": 2.0, "c": 0.0}
+
+
+def test_betweenness_leaves_numbers_only(spark, tmp_path, monkeypatch):
+    """Edges are exchanged and kept as numbers: no table of their ids, of blocks or of scores stays."""
+    from weftgraph import store
+    from weftgraph.operators import mapped
+
+    nb = _random_pairs(spark, 50, 90).selectExpr("inline(array(named_struct('id', lo, 'other', hi), named_struct('id', hi, 'other', lo)))")
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(mapped, "shared_dir", store.shared_dir)
+    score = traverse.betweenness(nb).count()
+    assert score > 40 and [x.name.rpartition("-")[0] for x in tmp_path.iterdir()] == ["graph-numbers"]
+
+
+def test_graph_of_equal_hashes_is_joined(spark, monkeypatch):
+    from weftgraph.operators import mapped
+
+    nb = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "id string, other string")
+    monkeypatch.setattr(mapped, "_hashes", lambda _: None)
+    assert {r["id"]: r["score"] for r in traverse.betweenness(nb).collect()} == {"a": 0.0, "b": 2.0, "c": 0.0}
