@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -83,8 +84,6 @@ def test_random_keys_are_few_candidates(spark, least, most):
 
 
 def test_hot_signatures_are_sliced(monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(overlap, "CANDIDATES", 10)
     ref, sig = np.arange(9), np.zeros(9, np.uint64)
     got = [(a, b) for x in overlap._matches((sig, ref), (sig, ref)) for a, b in zip(*(y.tolist() for y in x), strict=True)]
@@ -161,3 +160,49 @@ def test_graph_of_equal_hashes_is_joined(spark, monkeypatch):
     nb = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "id string, other string")
     monkeypatch.setattr(mapped, "_hashes", lambda _: None)
     assert {r["id"]: r["score"] for r in traverse.betweenness(nb).collect()} == {"a": 0.0, "b": 2.0, "c": 0.0}
+
+
+@pytest.mark.parametrize("cliques", [4, 40])
+@pytest.mark.parametrize("nodes", [20_000_000, 0])
+def test_large_and_loose_communities_are_split(spark, nodes, cliques, monkeypatch):
+    """A ring of 60 nodes, one community at a low resolution, has more than a quarter of the nodes beside 4 cliques of 5; beside 40 only few of its edges."""
+    from weftgraph.operators import cluster, packed
+
+    pairs = [tuple(sorted((f"r{i:02}", f"r{(i + 1) % 60:02}"))) for i in range(60)] + [(f"{g:02}{i}", f"{g:02}{j}") for g in range(cliques) for j in range(5) for i in range(j)]
+    monkeypatch.setattr(packed, "NODES", nodes)
+    start = {"_packed_parts": lambda _, turns, *a: np.array([int(n >= 5 * cliques) * 5 * cliques if n >= 5 * cliques else n // 5 * 5 for n in range(len(turns))], np.int32), "_parts_by_joins": lambda e, *_: e.select(F.explode(F.array("u", "v")).alias("id")).distinct().selectExpr("id", "if(id LIKE 'r%', 'r00', concat(substr(id, 1, 2), '0')) AS com")}
+    for name, first in start.items():  # the first pass makes components
+        real, calls = getattr(cluster, name), []
+        monkeypatch.setattr(cluster, name, lambda *a, first=first, real=real, calls=calls: real(*a) if calls else (calls.append(1), first(*a))[1])
+    got = {r["id"]: r["community"] for r in cluster.communities(spark.createDataFrame(pairs, "lo string, hi string"), levels=2, sweeps=3).collect()}
+    assert len(got) == 60 + 5 * cliques and len({got[f"r{i:02}"] for i in range(60)}) > 4
+    assert all(len({got[f"{g:02}{i}"] for i in range(5)}) == 1 for g in range(cliques))
+
+
+def test_communities_go_on_until_nothing_is_gained(spark):
+    """Without bounds the modularity is above that of a bounded run."""
+    from weftgraph.operators import cluster
+
+    pairs = _random_pairs(spark, 80, 160)
+    labels = {r["id"]: r["community"] for r in cluster.communities(pairs, split=False).collect()}
+    edges = [(r["lo"], r["hi"]) for r in pairs.collect()]
+    two_m, mass, degree = 2 * len(edges), {}, {}
+    for e in edges:
+        for x in e:
+            degree[x] = degree.get(x, 0) + 1
+            mass[labels[x]] = mass.get(labels[x], 0) + 1
+    quality = sum(labels[a] == labels[b] for a, b in edges) / len(edges) - sum(m * m for m in mass.values()) / two_m**2
+    few = {r["id"]: r["community"] for r in cluster.communities(pairs, levels=1, sweeps=2, split=False).collect()}
+    few_mass = {}
+    for e in edges:
+        for x in e:
+            few_mass[few[x]] = few_mass.get(few[x], 0) + 1
+    assert quality > 0.3 and quality > sum(few[a] == few[b] for a, b in edges) / len(edges) - sum(m * m for m in few_mass.values()) / two_m**2
+
+
+def test_isolates_are_communities(spark):
+    from weftgraph.operators import cluster
+
+    labels = spark.createDataFrame([("a", 0), ("b", 0), ("d", 1), ("e", 1)], "id string, community int")
+    got = {r["id"]: r["community"] for r in cluster.with_isolates(labels, spark.createDataFrame([(x,) for x in "abcde"], "id string")).collect()}
+    assert got == {"a": 0, "b": 0, "d": 1, "e": 1, "c": 2}
