@@ -206,3 +206,15 @@ def test_isolates_are_communities(spark):
     labels = spark.createDataFrame([("a", 0), ("b", 0), ("d", 1), ("e", 1)], "id string, community int")
     got = {r["id"]: r["community"] for r in cluster.with_isolates(labels, spark.createDataFrame([(x,) for x in "abcde"], "id string")).collect()}
     assert got == {"a": 0, "b": 0, "d": 1, "e": 1, "c": 2}
+
+
+def test_signatures_take_turns(spark, tmp_path, monkeypatch):
+    """With few bytes at a time the same pairs are found in several rounds."""
+    keys = _random_keys(spark, 400).union(spark.createDataFrame([("a shared long key 1",), ("a shared long key 2",)], "key string"))
+    want = {(r["a"], r["b"]) for r in overlap.similar_pairs(keys, 0.5).collect()}
+    rounds = []
+    real = overlap.stored
+    monkeypatch.setattr(overlap, "stored", lambda df, label: (rounds.append(label), real(df, label))[1])
+    monkeypatch.setattr(overlap, "ROUND", 1)
+    assert {(r["a"], r["b"]) for r in overlap.similar_pairs(keys, 0.5).collect()} == want >= {("a shared long key 1", "a shared long key 2")}
+    assert rounds.count("candidates") > 2
