@@ -218,3 +218,36 @@ def test_signatures_take_turns(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(overlap, "ROUND", 1)
     assert {(r["a"], r["b"]) for r in overlap.similar_pairs(keys, 0.5).collect()} == want >= {("a shared long key 1", "a shared long key 2")}
     assert rounds.count("candidates") > 2
+
+
+def test_ambiguous_pairs_of_all_pairs(spark, monkeypatch):
+    """Pairs of few shingles in common are judged too; small blocks, so that several meet."""
+    import random
+
+    from weftgraph.functions.keys import _jaro_winkler
+    from weftgraph.operators import alike, dedup
+
+    monkeypatch.setattr(alike, "PAIRS", 7)
+    r = random.Random(3)
+    words = {"".join(r.choice("abcdé") for _ in range(r.randint(12, 18))) for _ in range(60)} | {"graph extractor one", "grxph extrxctor onx", "short"}
+    words = sorted(words)
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if min(len(a), len(b)) >= 12 and 75 <= _jaro_winkler(a, b) * 100 < 92}
+    nodes = spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "id string, label string").repartition(3)
+    got = [(x["a"], x["b"]) for x in dedup.ambiguous_pairs(nodes).collect()]
+    assert set(got) == want and len(got) == len(want) and ("graph extractor one", "grxph extrxctor onx") in want
+    few = {(x["a"], x["b"]) for x in dedup.ambiguous_pairs(nodes, overlapping=0.5).collect()}
+    assert few < want
+
+
+def test_jaro_of_many_like_one():
+    import random
+
+    from weftgraph.functions.keys import _jaro_winkler
+    from weftgraph.operators import alike
+
+    r = random.Random(4)
+    pairs = [["".join(r.choice("abc\U0001f600") for _ in range(r.randint(1, 12))) for _ in "ab"] for _ in range(300)]
+    got = alike.jaro(*(alike._padded(list(x)) for x in zip(*pairs, strict=True)))
+    for (a, b), j in zip(pairs, got, strict=True):
+        prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(len(a), len(b), 4))
+        assert _jaro_winkler(a, b) == pytest.approx(j + prefix * 0.1 * (1 - j) if j > 0.7 else j)
