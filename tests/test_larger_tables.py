@@ -84,6 +84,8 @@ def test_random_keys_are_few_candidates(spark, least, most):
 
 
 def test_hot_signatures_are_sliced(monkeypatch):
+    import numpy as np
+
     monkeypatch.setattr(overlap, "CANDIDATES", 10)
     ref, sig = np.arange(9), np.zeros(9, np.uint64)
     got = [(a, b) for x in overlap._matches((sig, ref), (sig, ref)) for a, b in zip(*(y.tolist() for y in x), strict=True)]
